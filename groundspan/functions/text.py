@@ -32,8 +32,7 @@ def strip_chars(text: Column, chars: str) -> Column:
 def tokenize(text: Column) -> Column:
     """Lower-case word tokens without stop words and one-letter noise."""
     words = F.regexp_extract_all(F.lower(text), F.lit(f"({fv.TOKEN_PATTERN})"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in fv.STOPWORDS])
-    return F.filter(words, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(fv.STOPWORDS))
 
 
 def document_tokens(text: Column) -> Column:

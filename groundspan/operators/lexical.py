@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from groundspan.functions.text import document_tokens, term_frequencies, tokenize
+from groundspan.functions.text import document_tokens, let, term_frequencies, tokenize
 from groundspan.settings import Settings
 from groundspan.staging import join_checked, stage_table
 
@@ -29,13 +29,11 @@ class CorpusFacts:
 
 def with_terms(passages: DataFrame) -> DataFrame:
     """Add ``tf`` (array of term, count) and ``dl`` to each passage; narrow."""
-    tokens = document_tokens(F.col("text"))
-    return (
-        passages.withColumn("_tokens", tokens)
-        .withColumn("dl", F.size("_tokens"))
-        .withColumn("tf", term_frequencies(F.col("_tokens")))
-        .drop("_tokens")
+    counted = let(
+        document_tokens(F.col("text")),
+        lambda t: F.struct(F.size(t).alias("dl"), term_frequencies(t).alias("tf")),
     )
+    return passages.withColumn("_t", counted).select(*passages.columns, "_t.dl", "_t.tf")
 
 
 def term_statistics(
@@ -69,20 +67,23 @@ def term_statistics(
     return stats, facts
 
 
-def query_terms(queries: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, scope, term, qtf, idf); idf is NULL for unseen terms."""
+def query_terms(queries: DataFrame, stats: DataFrame, constant: bool = False) -> DataFrame:
+    """(query_id, scope, term, qtf, idf); idf is NULL for unseen terms.
+
+    ``constant`` says that the queries are a fixed short list, whose size needs
+    no check before it is broadcast.
+    """
     wanted = (
         queries.select("query_id", "scope", F.explode(tokenize(F.col("query"))).alias("term"))
         .groupBy("query_id", "scope", "term")
         .agg(F.count("*").alias("qtf"))
     )
-    seen = join_checked(
-        stats.select("term", "idf"),
-        wanted.select("term").distinct(),
-        "term",
-        "left_semi",
-        salt_by="term",
-    )
+    vocabulary = wanted.select("term").distinct()
+    known = stats.select("term", "idf")
+    if constant:
+        seen = known.join(F.broadcast(vocabulary), "term", "left_semi")
+    else:
+        seen = join_checked(known, vocabulary, "term", "left_semi", salt_by="term")
     return wanted.join(seen, "term", "left")
 
 

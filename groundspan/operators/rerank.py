@@ -11,7 +11,6 @@ from groundspan.functions import fixed_values as fv
 from groundspan.functions.text import normalize_query, tokenize
 from groundspan.operators.lexical import SCORE_DP, CorpusFacts, query_terms
 from groundspan.settings import Settings
-from groundspan.staging import join_checked
 
 # Scores (topic, passage text) pairs; one call per Arrow batch.
 Scorer = Callable[[Sequence[str], Sequence[str]], Sequence[float]]
@@ -93,7 +92,7 @@ def probe_scores(indexed: DataFrame, stats: DataFrame, facts: CorpusFacts) -> Da
     and never leave the scan.
     """
     probes = probe_queries(indexed.sparkSession)
-    idf = query_terms(probes, stats).select(
+    idf = query_terms(probes, stats, constant=True).select(
         "query_id",
         "term",
         F.coalesce("idf", F.lit(facts.idf_of_unseen())).alias("idf"),
@@ -101,7 +100,7 @@ def probe_scores(indexed: DataFrame, stats: DataFrame, facts: CorpusFacts) -> Da
     mass = idf.groupBy("query_id").agg(F.sum("idf").alias("mass"))
     postings = indexed.select("chunk_id", F.explode("tf.term").alias("term"))
     best = (
-        join_checked(postings, idf, "term", "inner", salt_by="chunk_id")
+        postings.join(F.broadcast(idf), "term")  # eight short probes
         .groupBy("query_id", "chunk_id")
         .agg(F.sum("idf").alias("found"))
         .groupBy("query_id")
