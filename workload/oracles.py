@@ -1,0 +1,3 @@
+"""DuckDB SQL for the registered queries, by name."""
+
+ORACLES: dict[str, str] = {}
