@@ -1,20 +1,21 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
 Every run of ``WINDOW`` consecutive item words is a window; a shorter item is
-one window. A window is a set of shingles, and to contain it a document must
-contain its rarest one: the prefix that containment needs has one token.
-Shingles are ordered by how often they occur in all documents. A position of
-that shingle in a document places the whole window: it must fit in front
-(position) and behind (length). What fits is verified word by word.
-
-Documents are cut into parts of ``PART`` words, which overlap by a window, and
-exploded word by word, without a shuffle, against tables made from the
-benchmark. Those are broadcast in slices of a checked number of rows, one pass
-over the documents for each slice. A position carries its part, never its whole
-document. Shingle keys fold case beyond A-Z too, which can only add candidates.
+one window. A document that contains a window contains its rarest token, so the
+prefix that containment needs has one token: that of the word which occurs least
+in all documents. Neighbouring windows mostly share it. Where a document has the
+token, it places the item along the document (a diagonal), and with it each
+window that chose the token; a window must fit in front (position) and behind
+(length). What fits is verified on the words themselves.
+
+Documents are exploded word by word, in narrow rows and without a shuffle,
+against tables made from the benchmark. Those are broadcast in slices of a
+checked number of rows, one pass over the documents for each slice. Tokens fold
+case beyond A-Z too, which can only add candidates. The candidates of a document
+then join its text once, where they are verified and their words counted.
 
 Cases: a null text, or one without words, has no words and no hits and is clean.
-Items without words have no windows; equal windows and items count once; a null
+Items without words have no windows; equal items count each by its id; a null
 item id is left out of the item list. Repeated rows are judged alike, rows of
 one id with different texts each by their own text. Results carry only their
 own columns.
@@ -22,18 +23,21 @@ own columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from groundspan.staging import BROADCAST_ROWS, stage_table
 
-WINDOW, SHINGLE, PART = 13, 3, 256
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WINDOW = 13
+# All of ASCII but letters and digits stands between words.
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+BETWEEN_RUN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text in its own case."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(BETWEEN))
+    return F.when(inner == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(inner, BETWEEN_RUN, -1))
 
 
 def joined(words: Column) -> Column:
@@ -41,48 +45,34 @@ def joined(words: Column) -> Column:
     return F.translate(F.array_join(words, " "), _UPPER, _LOWER)
 
 
-def shingle(words: Column, at: Column, size: int) -> Column:
-    """A hash of ``size`` words from place ``at``; null where they do not fit."""
-    parts = [F.lower(F.get(words, at + i)) for i in range(size)]
-    return F.when(at + size <= F.size(words), F.xxhash64(F.lit(size), *parts))
+def tokens_of(text: Column) -> Column:
+    """The words of a text for joining: case is folded, places are those of ``words_of``."""
+    return words_of(F.lower(text))
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(window, size, items): each distinct window, its words and its items."""
-    words = items.select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0")
+    """(item, at, size, window, tokens, ids): each window of each different item text."""
+    words = (
+        items.select(F.col("item_id").cast("string").alias("id"), words_of(F.col("text")).alias("words"))
+        .where("size(words) > 0")
+        .groupBy(joined(F.col("words")).alias("item"))
+        .agg(F.array_sort(F.collect_set("id")).alias("ids"))
+        .withColumn("words", F.split("item", " "))
+    )
     last = F.greatest(F.size("words") - window, F.lit(0))
-    cut = words.select("item_id", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    return (
-        cut.select(
-            "item_id",
-            joined(F.slice("words", F.col("at") + 1, window)).alias("window"),
-            F.least(F.size("words"), F.lit(window)).alias("size"),
-        )
-        .groupBy("window", "size")
-        .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    cut = words.select("item", "ids", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    own = F.slice("words", F.col("at") + 1, window)
+    return cut.select(
+        "item", "ids", "at", F.size(own).alias("size"), F.array_join(own, " ").alias("window"), F.transform(own, lambda w: F.lower(w)).alias("tokens")
     )
 
 
-def positions(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_key, n, part, in_part, at): a row for each word of each document."""
-    edge = max(window, SHINGLE) - 1
-    words = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words")
-    ).where("size(words) > 0")
-    parts = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PART).cast("int")),
-        lambda c: F.slice(
-            "words", F.greatest(c * PART - edge, F.lit(0)) + 1, F.least(c * PART, F.lit(edge)) + PART + edge
-        ),
-    )
-    lead = F.least(F.col("c") * PART, F.lit(edge))
-    return (
-        words.select("doc_id", "text_key", F.size("words").alias("n"), parts.alias("parts"))
-        .select("doc_id", "text_key", "n", F.posexplode("parts").alias("c", "part"))
-        .select("doc_id", "text_key", "n", "c", "part", F.posexplode("part").alias("in_part", "_word"))
-        .where((F.col("in_part") >= lead) & (F.col("in_part") < lead + PART))
-        .select("doc_id", "text_key", "n", "part", "in_part", (F.col("c") * PART - lead + F.col("in_part")).alias("at"))
-    )
+def positions(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n, at, token): a narrow row for each word of each document."""
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), tokens_of(F.col("text")).alias("words"))
+    # the count first: beside the explode it would carry the array along in every row
+    counted = words.select("doc_id", "text_key", F.size("words").alias("n"), "words")
+    return counted.select("doc_id", "text_key", "n", F.posexplode("words").alias("at", "token"))
 
 
 def in_slices(rows: DataFrame, by: str, limit: int) -> list[DataFrame]:
@@ -100,84 +90,87 @@ def united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = BROADCAST_ROWS) -> DataFrame | None:
-    """(doc_id, text_key, start, words, items) of every window in every document.
+def candidates(docs: DataFrame, windows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
+    """(doc_id, text_key, places): where windows may stand, by their rarest token.
 
-    None if the items have no words.
+    None if there are no windows or no document has a token of theirs.
     """
-    windows = stage_table(windows_of(items, window), "windows").withColumn(
-        "shingle", F.least("size", F.lit(SHINGLE))
+    spots = positions(docs)
+    tokens = windows.select("item", "at", "size", "window", "ids", F.posexplode("tokens").alias("offset", "token"))
+    known = stage_table(tokens.select("token").distinct(), "benchmark-tokens")
+    counted = [
+        spots.select("token").join(F.broadcast(part), "token").groupBy("token").agg(F.count("*").alias("frequency"))
+        for part in in_slices(known, "token", limit)
+    ]
+    if not counted:
+        return None
+    # a token that no document has keeps its windows out
+    rarest = stage_table(
+        tokens.join(stage_table(united(counted), "token-frequency"), "token")
+        .groupBy("item", "at", "size", "window", "ids")
+        .agg(F.count("*").alias("n"), F.min_by(F.struct("token", "offset"), F.struct("frequency", "offset")).alias("p"))
+        .where("n = size")
+        .select("item", "ids", "size", "window", "at", F.col("p.token").alias("token"), F.col("p.offset").alias("offset")),
+        "window-prefixes",
     )
-    sizes = sorted(r["shingle"] for r in windows.select("shingle").distinct().collect())  # up to SHINGLE values
-    if not sizes:
+    # windows that share a token of the item at the same place meet a document together
+    anchors = stage_table(
+        rarest.groupBy("item", "ids", "token", (F.col("at") + F.col("offset")).alias("anchor")).agg(
+            F.collect_list(F.struct((-F.col("offset")).alias("shift"), "size", "window")).alias("windows")
+        ),
+        "anchors",
+    )
+    start = F.col("at") + F.col("w.shift")
+    found = [
+        spots.join(F.broadcast(part), "token")
+        .select("doc_id", "text_key", "n", "at", "ids", F.explode("windows").alias("w"))
+        .where((start >= 0) & (start + F.col("w.size") <= F.col("n")))
+        .select("doc_id", "text_key", F.struct(start.alias("start"), F.col("w.size").alias("size"), F.col("w.window").alias("window"), "ids").alias("place"))
+        for part in in_slices(anchors, "token", limit)
+    ]
+    if not found:
         return None
-    spots = positions(docs, window)
-    found = []
-    for size in sizes:
-        own = windows.where(F.col("shingle") == size).withColumn("words", F.split("window", " "))
-        tokens = own.select(
-            "window", "size", "items", "words", F.explode(F.sequence(F.lit(0), F.col("size") - size)).alias("offset")
-        ).select("window", "size", "items", "offset", shingle(F.col("words"), F.col("offset"), size).alias("key"))
-        known = stage_table(tokens.select("key").distinct(), "benchmark-shingles")
-        keyed = spots.withColumn("key", shingle(F.col("part"), F.col("in_part"), size)).where("key is not null")
-        counted = united(
-            [
-                keyed.select("key").join(F.broadcast(part), "key").groupBy("key").agg(F.count("*").alias("frequency"))
-                for part in in_slices(known, "key", limit)
-            ]
-        )
-        # a shingle that no document has keeps its windows out
-        rarest = (
-            tokens.join(stage_table(counted, "shingle-frequency"), "key")
-            .groupBy("window", "size", "items")
-            .agg(F.count("*").alias("n"), F.min_by(F.struct("key", "offset"), F.struct("frequency", "offset")).alias("p"))
-            .where(F.col("n") == F.col("size") - size + 1)
-            .select("window", "size", "items", F.col("p.key").alias("key"), F.col("p.offset").alias("offset"))
-        )
-        rarest = stage_table(rarest, "window-prefixes")
-        start = F.col("at") - F.col("offset")
-        fits = (start >= 0) & (start + F.col("size") <= F.col("n"))
-        place = F.greatest(F.col("in_part") - F.col("offset"), F.lit(0)) + 1
-        same = joined(F.slice("part", place, F.col("size"))) == F.col("window")
-        for part in in_slices(rarest, "key", limit):
-            found.append(
-                keyed.join(F.broadcast(part), "key")
-                .where(fits & same)
-                .select("doc_id", "text_key", start.alias("start"), F.col("size").alias("words"), "items")
-            )
-    return united(found) if found else None
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    return united(found).groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, text_key, n_words, n_hit, items, contaminated) for each row of ``docs``."""
-    base = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_key"), F.size(words_of(F.col("text"))).cast("bigint").alias("n_words")
-    )
-    found = occurrences(docs, items, window)
-    no_items = F.expr("cast(array() as array<string>)")
+    windows = stage_table(windows_of(items, window), "windows")
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    found = candidates(docs, windows, limit)
     if found is None:
-        judged = base.withColumns({"n_hit": F.lit(0).cast("bigint"), "items": no_items})
+        joined_rows = own.withColumn("places", F.expr("cast(null as array<struct<start: int, size: int, window: string, ids: array<string>>>)"))
     else:
-        # equal places of several rows of one document are one; each lies within its own text
-        before = Window.partitionBy("doc_id", "text_key").orderBy("start", "words").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        covered = F.coalesce(F.max("end").over(before), F.lit(0))
-        hits = (
-            found.withColumn("end", F.col("start") + F.col("words"))
-            .withColumn("new", F.greatest(F.col("end") - F.greatest("start", covered), F.lit(0)))
-            .groupBy("doc_id", "text_key")
-            .agg(
-                F.sum("new").cast("bigint").alias("n_hit"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-            )
-            .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_hit", "items")
-        )
-        judged = (
-            base.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-            .drop("_id", "_key")
-            .withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", no_items)})
+        found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "places")
+        joined_rows = own.join(
+            found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left"
         )
+    rows = joined_rows.select("doc_id", "text_key", "places", words_of(F.col("text")).alias("words"))
+    true = F.filter(
+        "places", lambda p: joined(F.slice("words", p["start"] + 1, p["size"])) == p["window"]
+    )
+    rows = rows.select(
+        "doc_id",
+        "text_key",
+        F.size("words").cast("bigint").alias("n_words"),
+        F.array_sort(F.coalesce(true, F.expr("cast(array() as array<struct<start: int, size: int, window: string, ids: array<string>>>)"))).alias("hits"),
+    )
+    # words under the union of the hits, which stand in the order of their starts
+    covered = F.aggregate(
+        "hits",
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+        lambda seen, h: F.struct(
+            (seen["n"] + F.greatest(h["start"] + h["size"] - F.greatest(h["start"], seen["end"]), F.lit(0))).alias("n"),
+            F.greatest(seen["end"], h["start"] + h["size"]).alias("end"),
+        ),
+    )
+    judged = rows.select(
+        "doc_id",
+        "text_key",
+        "n_words",
+        covered["n"].cast("bigint").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["ids"])))).alias("items"),
+    )
     return judged.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -167,7 +167,7 @@ def plain_hits(text, items):
 @pytest.mark.parametrize("limit", [500_000, 3])
 def test_decontamination_odd_rows(spark, odd, limit, monkeypatch):
     """Also in slices of three rows."""
-    monkeypatch.setattr(decontamination.occurrences, "__defaults__", (13, limit))
+    monkeypatch.setattr(decontamination.decontaminate, "__defaults__", (13, limit))
     items = [(1, "The quick brown FOX jumps over the lazy dog and runs far away from home"), (2, "Word"), (3, "words two"), (4, "two words"), (5, None), (6, "..."), (7, "Word"), (10, "É"), (None, "b")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     plain = [(i, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))) for i, t in items if i is not None]
