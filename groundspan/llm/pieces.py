@@ -9,9 +9,9 @@ prefix they share and only works out the rest.
 The public model file is a BPE model. Its best path is not the one with the
 largest sum of scores, so the forward step admits only the pieces that byte-pair
 merging can leave next to each other: two neighbours are admissible if merging
-their joined text gives back just these two. Among admissible pieces at a prefix
-the best score wins (there is one). This gives the ids of the public library;
-``merged`` is the plain merging that defines admissibility.
+their joined text gives back just these two. A prefix has exactly one admissible
+piece at its end, the one its merging leaves there. This gives the ids of the
+public library; ``merged`` is the plain merging that defines admissibility.
 
 Characters outside the vocabulary become their UTF-8 bytes' pieces.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import chain
 from typing import Iterator
 
 import numpy as np
@@ -40,6 +41,15 @@ CACHED_WORDS = 400_000
 CACHED_PAIRS = 1_000_000
 
 
+def marked_words(text: str) -> list[str]:
+    """The words of the marked text, each without its first mark."""
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text and MARK not in text:
+        return text.split(" ")
+    return [unit[1:] for unit in _UNITS.findall(MARK + text.replace(" ", MARK))]
+
+
 class PieceModel:
     def __init__(self, path: str):
         own = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,10 +63,13 @@ class PieceModel:
             self.raw[i] = piece.replace(MARK, " ").encode()
         for value, i in self.byte_ids.items():
             self.raw[i] = bytes([value])
-        ends: dict[str, set[int]] = {}
+        # pieces read from their ends: a node holds its next characters and its piece
+        self.endings: tuple[dict, str | None] = ({}, None)
         for piece in self.ids:
-            ends.setdefault(piece[-1], set()).add(len(piece))
-        self.lengths = {c: sorted(own, reverse=True) for c, own in ends.items()}
+            children = self.endings[0]
+            for char in reversed(piece[1:]):
+                children = children.setdefault(char, ({}, None))[0]
+            children[piece[0]] = (children.get(piece[0], ({}, None))[0], piece)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has white space inside; words cannot be encoded apart")
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -81,15 +94,19 @@ class PieceModel:
         if known is None:
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
-            known = self.merged(before + piece) == [before, piece]
+            known = self.merged(before + piece) == [p for p in (before, piece) if p]
             self.pairs[before, piece] = known
         return known
 
     def encode_words(self, words: list[str]) -> None:
-        """Put the ids of every word into ``words``; prefixes shared in sorted order are worked out once."""
+        """Put the ids of every word (without its first mark) into ``words``.
+
+        Prefixes shared in sorted order are worked out once.
+        """
         last: list[str] = [""]  # the piece at the end of each prefix of ``path``
-        path = ""
-        for word in sorted(words):
+        path, endings, pairs = "", self.endings[0], self.pairs
+        for plain in sorted(words):
+            word = MARK + plain
             shared = 0
             for a, b in zip(path, word):
                 if a != b:
@@ -97,40 +114,46 @@ class PieceModel:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                char = word[end - 1]
-                best, chosen = None, char
-                for length in self.lengths.get(char, ()):
-                    if length > end:
-                        continue
-                    piece = word[end - length : end]
-                    score = self.scores.get(piece)
-                    if score is None or best is not None and score <= best:
-                        continue
-                    before = last[end - length]
-                    if self.admissible(before, piece) if before else self.admissible("", piece):
-                        best, chosen = score, piece
+                at, children, fits = end, endings, []
+                while at:
+                    at -= 1
+                    node = children.get(word[at])
+                    if node is None:
+                        break
+                    children, piece = node
+                    if piece is not None:
+                        fits.append((last[at], piece))
+                chosen = word[end - 1]  # a character outside the vocabulary
+                for pair in reversed(fits):
+                    known = pairs.get(pair)
+                    if known or known is None and self.admissible(*pair):
+                        chosen = pair[1]  # the only one: merging has one result
+                        break
                 last.append(chosen)
             path = word
             found, end = [], len(word)
             while end:
                 piece = last[end]
-                own = self.ids.get(piece)
-                found.append([own] if own is not None else self.bytes_of(piece))
+                found.append(piece)
                 end -= len(piece)
-            self.words[word] = [i for part in reversed(found) for i in part]
+            ids = self.ids
+            self.words[plain] = [
+                i for p in reversed(found) for i in ((ids[p],) if p in ids else self.bytes_of(p))
+            ]
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        units = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {u for own in units for u in own if u not in self.words}
+        units = [marked_words(t) for t in texts]
+        distinct = set(chain.from_iterable(units))
+        new = distinct - self.words.keys()
         if len(self.words) + len(new) > CACHED_WORDS:
             self.words.clear()
-            new = {u for own in units for u in own}
+            new = distinct
         self.encode_words(list(new))
-        words = self.words
-        return [[i for u in own for i in words[u]] for own in units]
+        of = self.words.__getitem__
+        return [list(chain.from_iterable(map(of, own))) for own in units]
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
