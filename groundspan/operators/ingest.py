@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from groundspan.functions import fixed_values as fv
 from groundspan.functions.text import derive_title, file_suffix, slug_id
 from groundspan.operators.ordering import with_global_index
+from groundspan.staging import stage_table
 
 
 def catalogue_scan(files: DataFrame) -> DataFrame:
@@ -24,20 +25,35 @@ def identify(files: DataFrame) -> DataFrame:
     The first file by name keeps the plain slug. A later file with the same
     slug gets its overall position appended. First files are found by a
     combinable minimum and joined on (slug, name), a unique key, so a slug
-    shared by very many files does not gather in one task.
+    shared by very many files does not gather in one task. A slug that an
+    earlier file got with its position counts as taken as well; only such slugs
+    need another round.
     """
     named = with_global_index(files, "name").withColumn("slug", slug_id(F.col("name")))
     firsts = named.groupBy("slug").agg(F.min("name").alias("name")).withColumn(
         "_first", F.lit(True)
     )
-    return (
-        named.join(firsts, ["slug", "name"], "left")
-        .withColumn(
-            "episode_id",
-            F.when(F.col("_first"), F.col("slug")).otherwise(
-                F.concat_ws("_", "slug", F.col("index").cast("string"))
-            ),
+    suffixed = F.concat_ws("_", "slug", F.col("index").cast("string"))
+    placed = stage_table(
+        named.join(firsts, ["slug", "name"], "left").withColumn(
+            "_first", F.coalesce("_first", F.lit(False))
+        ),
+        "slugs",
+    )
+    while True:
+        made = placed.where(~F.col("_first")).groupBy(suffixed.alias("slug")).agg(
+            F.min("index").alias("_made_at")
         )
+        met = placed.join(made, "slug", "left").withColumn(
+            "_met", F.col("_first") & F.coalesce(F.col("_made_at") < F.col("index"), F.lit(False))
+        )
+        if met.where("_met").isEmpty():
+            break
+        placed = stage_table(
+            met.withColumn("_first", F.col("_first") & ~F.col("_met")).drop("_met", "_made_at"), "slugs"
+        )
+    return (
+        placed.withColumn("episode_id", F.when(F.col("_first"), F.col("slug")).otherwise(suffixed))
         .withColumn("title", derive_title(F.col("name")))
         .drop("_first")
     )

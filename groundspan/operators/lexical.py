@@ -146,8 +146,10 @@ def bm25_topk(
             "episode_id",
             "scope",
             F.round("raw", SCORE_DP).alias("bm25_score"),
+            "raw",
         )
-        .where(F.col("bm25_score") > 0)
+        .where(F.col("raw") > 0)  # before rounding: small matches count; ranks go by the rounded score
+        .drop("raw")
     )
     if not settings.exact_scope:
         pool = rank_topk(totals, "bm25_score", "_pool_rank", 3 * k)

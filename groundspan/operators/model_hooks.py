@@ -31,10 +31,27 @@ def batch_complete(requests: DataFrame, completer: Completer) -> DataFrame:
 
     def one(request: dict) -> dict:
         try:
-            return completer([request])[0]
+            (reply,) = completer([request])
+            return reply
         except Exception as exc:  # noqa: BLE001 - recorded in the row
             return {"error": f"{type(exc).__name__}: {exc}"}
 
+    def checked(reply) -> dict:
+        """A reply with the fields of the result; what cannot be read becomes its error."""
+        try:
+            cost = reply.get("usage_cost")
+            return {
+                "text": reply.get("text"),
+                "model": reply.get("model"),
+                "input_tokens": int(reply.get("input_tokens") or 0),
+                "output_tokens": int(reply.get("output_tokens") or 0),
+                "usage_cost": None if cost is None else str(cost),
+                "error": reply.get("error"),
+            }
+        except Exception as exc:  # noqa: BLE001 - recorded in the row
+            error = f"unreadable reply: {type(exc).__name__}: {exc}"
+            return {"text": None, "model": None, "input_tokens": 0, "output_tokens": 0, "usage_cost": None, "error": error}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             asked = [
@@ -47,23 +64,14 @@ def batch_complete(requests: DataFrame, completer: Completer) -> DataFrame:
             if not asked:
                 continue
             try:
-                replies = completer(asked)
+                replies = list(completer(asked))
+                if len(replies) != len(asked):
+                    raise ValueError(f"{len(replies)} replies to {len(asked)} requests")
             except Exception:  # noqa: BLE001 - isolate the failing request
                 replies = [one(request) for request in asked]
-            yield pd.DataFrame(
-                {
-                    "request_id": batch["request_id"].astype(str),
-                    "text": [r.get("text") for r in replies],
-                    "model": [r.get("model") for r in replies],
-                    "input_tokens": [int(r.get("input_tokens") or 0) for r in replies],
-                    "output_tokens": [int(r.get("output_tokens") or 0) for r in replies],
-                    "usage_cost": [
-                        None if r.get("usage_cost") is None else str(r["usage_cost"])
-                        for r in replies
-                    ],
-                    "error": [r.get("error") for r in replies],
-                }
-            )
+            rows = pd.DataFrame([checked(reply) for reply in replies])
+            rows.insert(0, "request_id", [None if i is None else str(i) for i in batch["request_id"]])
+            yield rows
 
     return requests.select("request_id", "system", "messages").mapInPandas(run, _REPLY)
 
@@ -98,31 +106,16 @@ def cost_by(calls: DataFrame, *keys: str) -> DataFrame:
 
 # --- replies that should contain one JSON object ----------------------------
 def first_json_object(text: str | None) -> tuple[str | None, str | None]:
-    """The first balanced object in fenced or prose-wrapped text, or an error."""
-    body = (text or "").strip()
-    if body.startswith("```"):
-        body = body[3:].split("```", 1)[0].removeprefix("json")
-    begin = body.find("{")
+    """The text of the first JSON object in a reply, whatever stands around it, or an error."""
+    reply = text or ""
+    begin = reply.find("{")
     if begin < 0:
-        return None, "Model did not return JSON."
-    level, quoted, skip = 0, False, False
-    for at, char in enumerate(body[begin:], begin):
-        if skip:
-            skip = False
-        elif char == "\\":
-            skip = True
-        elif char == '"':
-            quoted = not quoted
-        elif not quoted and char in "{}":
-            level += 1 if char == "{" else -1
-            if level == 0:
-                found = body[begin : at + 1]
-                try:
-                    json.loads(found)
-                except json.JSONDecodeError as exc:
-                    return None, f"Malformed JSON from model: {exc}"
-                return found, None
-    return None, "Model returned an unterminated JSON object."
+        return None, "no JSON object in the reply"
+    try:
+        _, end = json.JSONDecoder().raw_decode(reply, begin)
+    except json.JSONDecodeError as exc:
+        return None, f"JSON object cannot be read: {exc}"
+    return reply[begin:end], None
 
 
 def json_reply(text: Column) -> Column:

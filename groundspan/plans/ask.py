@@ -24,14 +24,14 @@ from groundspan.plans.search import SearchResult, hybrid_search
 from groundspan.settings import Settings
 from groundspan.staging import stage_table
 
-SYSTEM_PROMPT = (
-    "Answer only from the transcript passages you are given. Do not add facts, "
-    "names, numbers or dates that are not in them. If no passage helps, start "
-    f"with {fv.NOT_COVERED_MARKER} on its own line. If they cover only a part, "
-    "answer that part and say what is missing. Cite every factual claim in the "
-    'form (Ep. "Episode Title" 12:30-13:10), with titles and times copied from '
-    "the passages."
-)
+
+@dataclass(frozen=True)
+class Prompts:
+    """The caller's instructions to the model."""
+
+    system: str
+    compare_note: str
+    locate_note: str
 
 
 @dataclass(frozen=True)
@@ -58,10 +58,15 @@ def plan_questions(messages: DataFrame, mode: str | None = None) -> DataFrame:
     )
 
 
-def compose_prompts(questions: DataFrame, hits: DataFrame, settings: Settings) -> DataFrame:
+def compose_prompts(
+    questions: DataFrame, hits: DataFrame, prompts: Prompts, settings: Settings
+) -> DataFrame:
     """The chat messages sent to the model for each question."""
     shown = passages_of(cap_context(hits, settings.max_context_chars))
-    turn = build_user_turn(F.col("message"), F.col("passages"), F.col("mode"), F.col("query"))
+    turn = build_user_turn(
+        F.col("message"), F.col("passages"), F.col("mode"), F.col("query"),
+        prompts.compare_note, prompts.locate_note,
+    )
     recent = F.slice(
         "history",
         F.greatest(F.size("history") - 2 * settings.prompt_history_turns + 1, F.lit(1)),
@@ -114,12 +119,14 @@ def ask(
     index: SearchIndex,
     episodes: DataFrame,
     completer: Completer | None,
+    prompts: Prompts,
     settings: Settings | None = None,
     embedder: Embedder | None = None,
     scorer: Scorer | None = None,
     mode: str | None = None,
 ) -> AskResult:
-    """Answer every message. Without a completer the turn stops at the gate.
+    """Answer every message. Without a completer the turn stops at the gate and
+    open questions get an empty answer; the columns are the same.
 
     ``messages``: (query_id string, message, rewritten, scope, history). Refused
     questions are filtered out before the model stage, so they cost no call.
@@ -153,33 +160,29 @@ def ask(
     )
     open_questions = gated.where(~F.col("not_covered"))
     if completer is None:
-        silent = open_questions.select(
-            F.col("query_id").alias("answer_id"),
-            F.lit(False).alias("not_covered"),
-            F.lit("").alias("answer"),
+        none = F.lit(None).cast("string")
+        replies = open_questions.select(
+            F.col("query_id").alias("request_id"), F.lit("").alias("text"), none.alias("model"),
+            F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),
+            none.alias("usage_cost"), none.alias("error"),
         )
-        texts = refused.unionByName(blank).unionByName(silent)
-        citations = extract_citations(texts.limit(0))
-        sources = shown.limit(0)
-        answers = texts
     else:
-        prompts = compose_prompts(open_questions, search.hits, settings).select(
-            F.col("query_id").alias("request_id"), F.lit(SYSTEM_PROMPT).alias("system"), "messages"
+        requests = compose_prompts(open_questions, search.hits, prompts, settings).select(
+            F.col("query_id").alias("request_id"), F.lit(prompts.system).alias("system"), "messages"
         )
-        replies = stage_table(batch_complete(prompts, completer), "replies")
-        done, citations, sources = finish_answers(
-            replies.select(
-                F.col("request_id").alias("answer_id"),
-                F.coalesce("text", F.lit("")).alias("raw_answer"),
-            ),
-            shown,
-            episodes,
-            settings,
-        )
-        answers = done.drop("raw_answer").join(
-            replies.select(F.col("request_id").alias("answer_id"), "model", "input_tokens",
-                           "output_tokens", "usage_cost", "error"),
-            "answer_id",
-        ).unionByName(refused.unionByName(blank), allowMissingColumns=True)
+        replies = stage_table(batch_complete(requests, completer), "replies")
+    done, citations, sources = finish_answers(
+        replies.select(
+            F.col("request_id").alias("answer_id"), F.coalesce("text", F.lit("")).alias("raw_answer")
+        ),
+        shown,
+        episodes,
+        settings,
+    )
+    answers = done.drop("raw_answer").join(
+        replies.select(F.col("request_id").alias("answer_id"), "model", "input_tokens",
+                       "output_tokens", "usage_cost", "error"),
+        "answer_id",
+    ).unionByName(refused.unionByName(blank), allowMissingColumns=True)
     answers = answers.join(base.withColumnRenamed("query_id", "answer_id"), "answer_id")
     return AskResult(answers, citations, sources, search)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from groundspan import schemas
 from groundspan.operators.evaluation import normalise_cases, validate_cases
 from groundspan.operators.ordering import with_global_index
+from groundspan.staging import stage_table
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -15,9 +16,11 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
         "_line", F.monotonically_increasing_id()
     )
     cases = normalise_cases(with_global_index(lines, "_line"))
-    problems = [row["problem"] for row in validate_cases(cases).take(20)]
-    if problems:
-        raise ValueError("; ".join(problems))
+    problems = stage_table(validate_cases(cases), "case-problems")
+    count = problems.count()
+    if count:
+        path = problems.inputFiles()[0].rsplit("/", 1)[0]
+        raise ValueError(f"{count} problems, all of them in {path}; first: {problems.first()['problem']}")
     if cases.isEmpty():
         raise ValueError(f"{path} contains no cases")
     return cases

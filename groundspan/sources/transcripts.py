@@ -1,4 +1,4 @@
-"""Transcripts on disk: one JSON document per episode, plus a readable rendering."""
+"""Transcripts on disk: one JSON line per episode, plus a readable rendering."""
 
 from __future__ import annotations
 
@@ -8,14 +8,18 @@ from groundspan import schemas
 from groundspan.functions.timefmt import format_duration, format_ts
 
 
-def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(readable transcripts with defaults filled in, unreadable files).
+def read_transcripts(
+    spark: SparkSession, path: str, file_per_episode: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(readable transcripts with defaults filled in, unreadable records).
 
-    A file that is no JSON, or lacks a required field, counts as absent.
+    A record that is no JSON, or lacks a required field, counts as absent and
+    its file is listed. ``file_per_episode``: each file is one document over
+    several lines, instead of a line per episode.
     """
     raw = (
         spark.read.schema(schemas.TRANSCRIPT + ", _corrupt string")
-        .option("multiLine", "true")
+        .option("multiLine", str(file_per_episode).lower())
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .json(path)
@@ -28,7 +32,7 @@ def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     readable = (
         raw.where(good)
         .withColumn("asr_model", F.coalesce("asr_model", F.lit("unknown")))
-        .withColumn("asr_provider", F.coalesce("asr_provider", F.lit("local")))
+        .withColumn("asr_provider", F.coalesce("asr_provider", F.lit("unknown")))
         .withColumn("language", F.coalesce("language", F.lit("en")))
         .withColumn(
             "segments",

@@ -1,3 +1,110 @@
-"""DuckDB SQL for the registered queries, by name."""
+"""DuckDB SQL for the registered queries, by name.
 
-ORACLES: dict[str, str] = {}
+A query that is not here is beyond SQL or not yet written down; it counts as run
+only.
+"""
+
+from groundspan.functions import fixed_values as fv
+
+_STOP = ", ".join(f"'{w}'" for w in fv.STOPWORDS)
+_PRICES = ", ".join(f"('{m}', {i}, {o})" for m, (i, o) in fv.PRICES.items())
+
+# pages as files, as in fixtures.files
+_FILES = r"""
+files AS (
+  SELECT page_id, html, CAST(length(html) AS BIGINT) AS size,
+    lpad(CAST(page_id AS VARCHAR), 3, '0') || ' - ' || trim(regexp_replace(translate(path, '/', ' '), '\.html$', ''))
+      || CASE WHEN path LIKE '%.html' THEN '.HTML' ELSE '.MP3' END AS name
+  FROM (SELECT page_id, html, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages)
+)"""
+
+# what an earlier run knew, as in fixtures.previous_manifest
+_MANIFEST = """
+manifest AS (
+  SELECT CASE WHEN d.lang = 'de' THEN 1 ELSE 2 END AS version, CAST(d.doc_id AS VARCHAR) AS episode_id,
+    CASE WHEN l.quality = 0 THEN sha256(sha256(d.text) || '-old') ELSE sha256(d.text) END AS sha256,
+    CASE WHEN l.toxic = 1 THEN 'local:small:en' ELSE '{fingerprint}' END AS asr_fingerprint,
+    'Doc ' || d.doc_id AS title
+  FROM documents d JOIN labels l USING (doc_id)
+  UNION ALL
+  SELECT 2, 'page_' || page_id, sha256(html), '{fingerprint}', url FROM pages
+), current AS (SELECT * FROM manifest WHERE version = 2)"""
+
+_CALLS = f"""
+prices(model, usd_in, usd_out) AS (VALUES {_PRICES}),
+calls AS (
+  SELECT event_id, user_id AS case_id, CASE event_type WHEN 'view' THEN 'gpt-4o-mini' WHEN 'click' THEN 'gpt-4o'
+      WHEN 'purchase' THEN 'claude-haiku-4-5' ELSE 'unlisted-model' END AS model,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) * 100 AS input_tokens,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) AS output_tokens,
+    CASE WHEN event_type = 'signup' THEN printf('%.2f', value) WHEN event_type = 'error' THEN 'nonsense' END AS usage_cost
+  FROM events
+), priced AS (
+  SELECT c.*, coalesce(try_cast(usage_cost AS DOUBLE), (input_tokens * usd_in + output_tokens * usd_out) / 1000000, 0.0) AS cost_usd
+  FROM calls c LEFT JOIN prices USING (model)
+)"""
+
+_GRADES = """
+  SELECT doc_id, CASE WHEN quality = 1 THEN 5 ELSE 3 END AS faithfulness, CAST(quality + 3 AS INTEGER) AS completeness,
+    CASE WHEN toxic = 1 THEN 2 ELSE 4 END AS citation_correctness, 5 AS refusal_correctness,
+    CAST(5 - toxic AS INTEGER) AS clarity, coalesce(quality = 1 AND toxic <> 1, false) AS judge_passed,
+    CAST(toxic AS INTEGER) AS num_unsupported FROM labels"""
+
+_TURNS = """
+turns AS (
+  SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u
+  LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'
+)"""
+
+
+def _manifest() -> str:
+    from workload.fixtures import SETTINGS
+
+    return _MANIFEST.format(fingerprint=SETTINGS.asr_fingerprint)
+
+
+_SUFFIXES = ", ".join(f"'{s}'" for s in fv.MEDIA_SUFFIXES)
+
+ORACLES: dict[str, str] = {
+    "catalogue_scan": f"WITH {_FILES} SELECT name, size, size = 0 AS rejected FROM files "
+    rf"WHERE lower(regexp_extract(name, '^.+(\.[^.]+)$', 1)) IN ({_SUFFIXES}) AND NOT starts_with(name, '.')",
+    "content_hash": "SELECT page_id, sha256(html) AS sha256 FROM pages",
+    "slug_ids": rf"WITH {_FILES} SELECT name, coalesce(nullif(trim(regexp_replace(lower(regexp_replace(name, '^(.+)\.[^.]+$', '\1')), "
+    rf"'[^a-z0-9]+', '_', 'g'), '_'), ''), '{fv.FALLBACK_EPISODE_ID}') AS slug FROM files",
+    "tokenized": "WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?'), "
+    f"lambda t: length(t) > 1 AND t NOT IN ({_STOP})) AS w FROM documents) "
+    "SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM t",
+    "manifest_current": f"WITH {_manifest()} SELECT episode_id, sha256, asr_fingerprint FROM current",
+    "prune_removed": f"WITH {_manifest()} SELECT episode_id, title FROM current WHERE episode_id NOT IN "
+    "(SELECT CAST(doc_id AS VARCHAR) FROM documents)",
+    "ingest_plan": f"WITH {_manifest()}, p AS (SELECT CAST(doc_id AS VARCHAR) AS episode_id, sha256(text) AS sha256, "
+    "length(text) / 16.0 >= 20 AS stored FROM documents), r AS (SELECT p.episode_id, p.sha256, CASE WHEN c.sha256 IS NULL THEN 'new' "
+    "WHEN c.sha256 <> p.sha256 THEN 'content changed' "
+    "WHEN c.asr_fingerprint <> (SELECT max(asr_fingerprint) FROM current WHERE starts_with(episode_id, 'page_')) "
+    "THEN 'configuration changed' WHEN NOT p.stored THEN 'transcript missing' END AS reason "
+    "FROM p LEFT JOIN current c USING (episode_id)) "
+    "SELECT episode_id, sha256, CASE WHEN reason IS NULL THEN 'reuse' ELSE 'transcribe' END AS action, reason FROM r",
+    "llm_cost": f"WITH {_CALLS} SELECT event_id, model, round(cost_usd, 9) AS cost_usd FROM priced",
+    "llm_cost_by_case": f"WITH {_CALLS} SELECT case_id, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, "
+    "CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 6) AS cost_usd FROM priced GROUP BY case_id",
+    "stage_latency": "SELECT event_type AS stage, count(*) AS n, round(avg(value), 3) AS mean_ms, max(value) AS max_ms, "
+    "round(quantile_cont(value, 0.95), 6) AS p95_ms FROM events GROUP BY event_type",
+    "judge_passes": _GRADES,
+    "judge_summary": f"SELECT count(*) AS num_judged, round(coalesce(avg(CAST(judge_passed AS DOUBLE)), 0), 4) AS judge_pass_rate, "
+    "round(avg(faithfulness), 3) AS mean_faithfulness, round(avg(completeness), 3) AS mean_completeness, "
+    "round(avg(citation_correctness), 3) AS mean_citation_correctness, round(avg(refusal_correctness), 3) AS mean_refusal_correctness, "
+    f"round(avg(clarity), 3) AS mean_clarity FROM ({_GRADES}) WHERE faithfulness IS NOT NULL",
+    "last_turns": f"WITH {_TURNS} SELECT conv_id, max(turn) AS turn, arg_max(question, turn) AS question, "
+    "max_by(struct_pack(a := answer), turn).a AS answer, count(*) AS num_turns FROM turns GROUP BY conv_id",
+    "scored_turns": "SELECT conv_id, arg_max(text, turn) AS scored_input, max(turn) AS turn FROM conversations "
+    "WHERE role = 'user' GROUP BY conv_id",
+    "sticky_scopes": f"WITH {_TURNS}, r AS (SELECT conv_id, turn, CASE WHEN length(question) % 5 = 0 "
+    "THEN 'src' || length(question) % 20 WHEN length(question) % 5 = 1 THEN '' END AS q FROM turns) "
+    "SELECT conv_id, turn, nullif(last_value(q IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS scope FROM r",
+    "redacted": """WITH k AS (SELECT event_id, event_type || '_Token' AS t FROM events)
+SELECT e.event_id, array_to_string(['K', k.t, 'api_key'], ',') AS keys,
+  array_to_string([json_extract_string(props, '$.k'), '<redacted>', '<redacted>'], '|') AS vals FROM events e JOIN k USING (event_id)""",
+    "stream_latency": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS stage, count(*) AS n, max(value) AS max_ms, "
+    "round(sum(value), 4) AS sum_ms FROM events GROUP BY ALL",
+}
