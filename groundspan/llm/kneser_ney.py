@@ -16,7 +16,7 @@ n-grams up in the sorted arrays by binary search.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Iterator
 
 import numpy as np
@@ -30,6 +30,7 @@ BOUNDARY = 32
 DISCOUNT = 0.75
 SLOTS = 1 << 20
 HELD_GRAMS = 1_000_000
+CACHED_WORDS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -113,6 +114,9 @@ class KneserNey:
     symbols: int
     counts: dict[int, tuple[np.ndarray, np.ndarray]]
     contexts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    # scores of words seen before by this process: place by word, and the rows
+    seen: dict[str, int] = field(default_factory=dict)
+    rows: np.ndarray | None = None
 
     def _columns(self, order: int) -> list[int]:
         own = range(len(self.classes))
@@ -148,15 +152,26 @@ class KneserNey:
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log-likelihood of each word under each class, symbols of each word)."""
-        scores = np.zeros((len(words), len(self.classes)))
         sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        if self.rows is None or len(self.seen) + len(words) > CACHED_WORDS:
+            self.seen, self.rows = {}, np.zeros((0, len(self.classes)))
+        new = [w for w in words if w not in self.seen]
+        if new:
+            first = len(self.rows)
+            self.seen.update(zip(new, range(first, first + len(new))))
+            self.rows = np.concatenate([self.rows, self._scored(new)])
+        at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        return self.rows[at], sizes
+
+    def _scored(self, words: list[str]) -> np.ndarray:
+        scores = np.zeros((len(words), len(self.classes)))
         for part in chunks(words, 500_000):
             code, word = grams(words[part], self.order)
             logs = np.log(np.maximum(self._probabilities(code), 1e-12))
             own = scores[part]
             for c in range(len(self.classes)):
                 own[:, c] = np.bincount(word, logs[:, c], len(own))
-        return scores, sizes
+        return scores
 
 
 def fit(
