@@ -29,8 +29,8 @@ BITS = 12
 BOUNDARY = 32
 DISCOUNT = 0.75
 SLOTS = 1 << 20
-HELD_GRAMS = 1_000_000
-CACHED_WORDS = 400_000
+HELD_GRAMS = 500_000
+CACHED_WORDS = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -165,7 +165,7 @@ class KneserNey:
 
     def _scored(self, words: list[str]) -> np.ndarray:
         scores = np.zeros((len(words), len(self.classes)))
-        for part in chunks(words, 500_000):
+        for part in chunks(words, 200_000):
             code, word = grams(words[part], self.order)
             logs = np.log(np.maximum(self._probabilities(code), 1e-12))
             own = scores[part]
