@@ -1,9 +1,7 @@
 """Segment cleaning and time-bounded passages.
 
-Two layouts are supported. A *transcript* row nests all segments of an episode,
-so cleaning and passage building are narrow: no shuffle at all. A *flat* table
-has one row per segment and an episode may be arbitrarily long; see
-``chunk_flat_segments`` in ``operators.long_episodes``.
+A *transcript* row nests all segments of an episode, so cleaning and passage
+building are narrow: no shuffle at all. An episode must fit one row.
 """
 
 from __future__ import annotations
