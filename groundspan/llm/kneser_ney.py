@@ -16,7 +16,9 @@ n-grams up in the sorted arrays by binary search.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 from typing import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ BITS = 12
 BOUNDARY = 32
 DISCOUNT = 0.75
 SLOTS = 1 << 20
-HELD_GRAMS = 500_000
-CACHED_WORDS = 150_000
+HELD_CHARS = 1_000_000
+CACHED_CHARS = 1_500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -60,42 +62,36 @@ def grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code, word
 
 
-def tallied(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct words, word number of each running word, words in each text)."""
-    found = [words_of(t) for t in texts]
-    sizes = np.fromiter((len(f) for f in found), np.int64, len(found))
-    numbers, distinct = pd.factorize(np.array([w for f in found for w in f], dtype=object))
-    return list(distinct), numbers, sizes
-
-
-def _summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kept, inverse = np.unique(codes, return_inverse=True)
-    return kept, np.bincount(inverse, weights, len(kept)).astype(np.int64)
-
-
 def count_grams(rows: DataFrame, order: int) -> DataFrame:
-    """(cls, code, n) summed over all rows of (cls, text)."""
+    """(cls, code, n) summed over all rows of (cls, text).
 
-    def frame(cls, codes: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"cls": np.full(len(codes), cls, object), "code": codes, "n": counts})
+    A task keeps the tokens between white space with their counts, up to
+    ``HELD_CHARS`` characters of them, and turns these into n-grams.
+    """
+
+    def frame(cls, tokens: Counter) -> pd.DataFrame:
+        found = [words_of(t) for t in tokens]
+        sizes = np.fromiter((len(f) for f in found), np.int64, len(found))
+        times = np.repeat(np.fromiter(tokens.values(), np.int64, len(found)), sizes)
+        code, word = grams([w for f in found for w in f], order)
+        kept, inverse = np.unique(code, return_inverse=True)
+        counts = np.bincount(inverse, times[word], len(kept)).astype(np.int64)
+        return pd.DataFrame({"cls": np.full(len(kept), cls, object), "code": kept, "n": counts})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, Counter] = {}
         for batch in batches:
             for cls, own in batch.groupby("cls", sort=False):
                 texts = clean(own["text"])
                 for part in chunks(texts):
-                    distinct, numbers, _ = tallied(texts[part])
-                    code, word = grams(distinct, order)
-                    weights = np.bincount(numbers, minlength=len(distinct))[word]
-                    old = held.get(cls, (code[:0], weights[:0]))
-                    held[cls] = _summed(
-                        np.concatenate([old[0], code]), np.concatenate([old[1], weights])
-                    )
-                    if len(held[cls][0]) > HELD_GRAMS:
-                        yield frame(cls, *held.pop(cls))
-        for cls, both in held.items():
-            yield frame(cls, *both)
+                    tokens = held.setdefault(cls, Counter())
+                    for text in texts[part]:
+                        tokens.update(text.split())
+                    if sum(len(t) for own_tokens in held.values() for t in own_tokens) > HELD_CHARS:
+                        for name in list(held):
+                            yield frame(name, held.pop(name))
+        for cls, tokens in held.items():
+            yield frame(cls, tokens)
 
     partial = rows.select("cls", "text").mapInPandas(run, "cls string, code bigint, n bigint")
     return partial.groupBy("cls", "code").agg(F.sum("n").alias("n"))
@@ -114,9 +110,13 @@ class KneserNey:
     symbols: int
     counts: dict[int, tuple[np.ndarray, np.ndarray]]
     contexts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    # scores of words seen before by this process: place by word, and the rows
+    # tokens seen before by this process: number of each, and its words from first[number]
+    # to first[number + 1] in rows (scores) and symbols_of
     seen: dict[str, int] = field(default_factory=dict)
+    seen_chars: int = 0
+    first: np.ndarray | None = None
     rows: np.ndarray | None = None
+    symbols_of: np.ndarray | None = None
 
     def _columns(self, order: int) -> list[int]:
         own = range(len(self.classes))
@@ -150,18 +150,44 @@ class KneserNey:
             p[known] = np.where(total > 0, mixed, p[known])
         return p
 
-    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(log-likelihood of each word under each class, symbols of each word)."""
-        sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        if self.rows is None or len(self.seen) + len(words) > CACHED_WORDS:
-            self.seen, self.rows = {}, np.zeros((0, len(self.classes)))
-        new = [w for w in words if w not in self.seen]
+    def word_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, log-likelihood under each class, symbols) of each running word.
+
+        Runs of letters have no white space inside, so a text's words are those of
+        its tokens between white space; what a token gives is kept.
+        """
+        split = [t.split() for t in texts]
+        tokens = list(chain.from_iterable(split))
+        distinct = set(tokens)
+        new = distinct - self.seen.keys()
+        chars = sum(map(len, new))
+        if self.first is None or self.seen_chars + chars > CACHED_CHARS:
+            self.seen, self.seen_chars, new = {}, 0, distinct
+            chars = sum(map(len, new))
+            self.first, self.symbols_of = np.zeros(1, np.int64), np.zeros(0, np.int64)
+            self.rows = np.zeros((0, len(self.classes)))
         if new:
-            first = len(self.rows)
-            self.seen.update(zip(new, range(first, first + len(new))))
-            self.rows = np.concatenate([self.rows, self._scored(new)])
-        at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-        return self.rows[at], sizes
+            self.seen_chars += chars
+            self._keep(list(new))
+        number = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))
+        text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(texts)))
+        begin = self.first[number]
+        words = self.first[number + 1] - begin
+        before = np.cumsum(words) - words
+        at = np.repeat(begin - before, words) + np.arange(words.sum())
+        return np.repeat(text, words), self.rows[at], self.symbols_of[at]
+
+    def _keep(self, tokens: list[str]) -> None:
+        found = [words_of(t) for t in tokens]
+        words = list(dict.fromkeys(chain.from_iterable(found)))
+        place = dict(zip(words, range(len(words))))
+        own = np.fromiter(map(place.__getitem__, chain.from_iterable(found)), np.int64)
+        sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        self.seen.update(zip(tokens, range(len(self.seen), len(self.seen) + len(tokens))))
+        ends = self.first[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.first = np.concatenate([self.first, ends])
+        self.rows = np.concatenate([self.rows, self._scored(words)[own]])
+        self.symbols_of = np.concatenate([self.symbols_of, sizes[own]])
 
     def _scored(self, words: list[str]) -> np.ndarray:
         scores = np.zeros((len(words), len(self.classes)))

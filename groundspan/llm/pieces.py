@@ -73,7 +73,7 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has white space inside; words cannot be encoded apart")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}  # ids of four bytes each
 
     def merged(self, text: str) -> list[str]:
         """Plain byte-pair merging: the best-scored neighbours first, leftmost of equals."""
@@ -137,14 +137,18 @@ class PieceModel:
                 found.append(piece)
                 end -= len(piece)
             ids = self.ids
-            self.words[plain] = [
-                i for p in reversed(found) for i in ((ids[p],) if p in ids else self.bytes_of(p))
-            ]
+            self.words[plain] = np.array(
+                [i for p in reversed(found) for i in ((ids[p],) if p in ids else self.bytes_of(p))],
+                np.int32,
+            ).tobytes()
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [found.tolist() for found in self.id_arrays(texts)]
+
+    def id_arrays(self, texts: list[str]) -> list[np.ndarray]:
         units = [marked_words(t) for t in texts]
         distinct = set(chain.from_iterable(units))
         new = distinct - self.words.keys()
@@ -153,11 +157,10 @@ class PieceModel:
             new = distinct
         self.encode_words(list(new))
         of = self.words.__getitem__
-        return [list(chain.from_iterable(map(of, own))) for own in units]
+        return [np.frombuffer(b"".join(map(of, own)), np.int32) for own in units]
 
     def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        return b"".join([raw[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 @cache
@@ -175,9 +178,9 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str = MODEL) -> Data
             texts = clean(batch)
             ids, same = [], []
             for part in chunks(texts):
-                for t, found in zip(texts[part], own.encode(texts[part])):
-                    ids.append(np.array(found, np.int32))
-                    same.append(own.decode(found) == t)
+                for t, found in zip(texts[part], own.id_arrays(texts[part])):
+                    ids.append(found)
+                    same.append(own.decode(found.tolist()) == t)
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "n": [len(i) for i in ids], "same": pd.Series(same, dtype=bool)})
 
     udf = F.pandas_udf(run, "ids array<int>, n int, same boolean")
