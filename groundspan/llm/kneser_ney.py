@@ -32,12 +32,15 @@ BOUNDARY = 32
 DISCOUNT = 0.75
 SLOTS = 1 << 20
 HELD_CHARS = 1_000_000
-CACHED_CHARS = 1_500_000
+CACHED_CHARS = 2_500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    found = _LETTERS.findall(text.lower())
+    text = text.lower()
+    if text.isalpha():
+        return [text]
+    found = _LETTERS.findall(text)
     if found and not "".join(found).isalpha():  # numbers such as a half are no letters
         found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
     return found
@@ -191,9 +194,10 @@ class KneserNey:
 
     def _scored(self, words: list[str]) -> np.ndarray:
         scores = np.zeros((len(words), len(self.classes)))
-        for part in chunks(words, 200_000):
+        for part in chunks(words, 400_000):
             code, word = grams(words[part], self.order)
-            logs = np.log(np.maximum(self._probabilities(code), 1e-12))
+            distinct, number = np.unique(code, return_inverse=True)
+            logs = np.log(np.maximum(self._probabilities(distinct), 1e-12))[number]
             own = scores[part]
             for c in range(len(self.classes)):
                 own[:, c] = np.bincount(word, logs[:, c], len(own))
