@@ -31,8 +31,9 @@ BITS = 12
 BOUNDARY = 32
 DISCOUNT = 0.75
 SLOTS = 1 << 20
-HELD_CHARS = 1_000_000
-CACHED_CHARS = 2_500_000
+HELD_CHARS = 500_000
+CACHED_CHARS = 1_500_000
+SCORED_CHARS = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -194,7 +195,7 @@ class KneserNey:
 
     def _scored(self, words: list[str]) -> np.ndarray:
         scores = np.zeros((len(words), len(self.classes)))
-        for part in chunks(words, 400_000):
+        for part in chunks(words, SCORED_CHARS):
             code, word = grams(words[part], self.order)
             distinct, number = np.unique(code, return_inverse=True)
             logs = np.log(np.maximum(self._probabilities(distinct), 1e-12))[number]
