@@ -11,15 +11,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField
+from pyspark.sql.types import ArrayType, FloatType
 
 from groundspan.functions import fixed_values as fv
 from groundspan.operators.lexical import SCORE_DP, rank_topk
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
-# Query vectors held by one task at a time; more queries run as more slices.
+# Query vectors and passages held by one task at a time, and passages scored at once.
 QUERY_SLICE = 4096
+PASSAGE_BLOCK = 50_000
+SCORED_ROWS = 2048
 
 
 @lru_cache(maxsize=1 << 18)
@@ -53,84 +55,109 @@ def hashing_embedder(dim: int = 64) -> Embedder:
 def embed_column(
     df: DataFrame, embedder: Embedder, text: str = "text", into: str = "vector"
 ) -> DataFrame:
-    """Append the embedding of ``text``; one call of the hook per Arrow batch."""
-    schema = df.schema
-    schema = type(schema)(list(schema.fields) + [StructField(into, ArrayType(FloatType()))])
+    """Append the embedding of ``text``; one call of the hook per Arrow batch.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only the text goes to the Python workers.
+    """
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            if len(batch):
-                vectors = np.asarray(embedder(batch[text].tolist()), dtype=np.float32)
-                batch[into] = list(vectors)
-                yield batch
+            vectors = np.asarray(embedder(batch.tolist()), dtype=np.float32) if len(batch) else []
+            yield pd.Series(list(vectors), dtype=object)
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(into, embed(text))
 
 
-def dense_topk(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+def dense_topk(
+    queries: DataFrame, passages: DataFrame, k: int, query_slice: int = QUERY_SLICE
+) -> DataFrame:
     """Exact top-``k`` passages by inner product of unit vectors.
 
     ``queries`` is (query_id, vector, scope) and ``passages`` is (chunk_id,
-    episode_id, vector). Each task multiplies its Arrow batches of passages
-    with one bounded slice of the query vectors and lets through only the best
-    ``k`` of a batch per query, so neither a cross join nor a row per pair
-    exists. A scope limits the candidates before ranking.
+    episode_id, vector). One slice of queries is broadcast. More of them meet the
+    passages in blocks of bounded size, without the driver. Only the best ``k``
+    of a batch per query are let through, so no row per pair exists. A scope
+    limits the candidates before ranking.
     """
     total = queries.count()
-    slices = max(1, -(-total // QUERY_SLICE))
-    found = None
-    for index in range(slices):
-        part = queries
-        if slices > 1:
-            part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == index)
-        hits = _batch_topk(part, passages, k)
-        found = hits if found is None else found.unionByName(hits)
+    queries = queries.select("query_id", "vector", F.col("scope").cast("string").alias("scope"))
+    passages = passages.select("chunk_id", "episode_id", "vector")
+    if total <= query_slice:
+        found = _broadcast_topk(queries, passages, k)
+    else:
+        found = _blocks_topk(queries, passages, k, -(-total // query_slice))
     return rank_topk(found, "dense_score", "dense_rank", k).select(
         "query_id", "chunk_id", "dense_score", "dense_rank"
     )
 
 
-def _batch_topk(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
-    spark = queries.sparkSession
-    local = queries.select("query_id", "vector", "scope").toPandas()
+def _result_schema(queries: DataFrame) -> str:
     query_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_type}, chunk_id string, dense_score double"
-    if local.empty:
-        return spark.createDataFrame([], schema)
-    payload = spark.sparkContext.broadcast(
-        (
-            local["query_id"].to_numpy(),
-            np.stack([np.asarray(v, dtype=np.float64) for v in local["vector"]]),
-            [None if pd.isna(s) else s for s in local["scope"]],
-        )
-    )
+    return f"query_id {query_type}, chunk_id string, dense_score double"
+
+
+def _broadcast_topk(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    local = queries.toArrow()
+    schema = _result_schema(queries)
+    if not local.num_rows:
+        return queries.sparkSession.createDataFrame([], schema)
+    block = queries.sparkSession.sparkContext.broadcast(_query_block(local))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, scopes = payload.value
-        scoped = [(row, s) for row, s in enumerate(scopes) if s is not None]
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            # Columns in id order, so a stable sort settles ties by id.
-            batch = batch.sort_by("chunk_id")
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.astype(np.float64).reshape(batch.num_rows, -1)
-            scores = np.round(matrix @ vectors.T, SCORE_DP) + 0.0
-            if scoped:
-                episodes = np.asarray(batch.column("episode_id").to_pylist(), dtype=object)
-                for row, scope in scoped:
-                    scores[row, episodes != scope] = -np.inf
-            rows, cols = _best_cells(scores, k)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[rows]),
-                    batch.column("chunk_id").take(pa.array(cols)),
-                    pa.array(scores[rows, cols]),
-                ],
-                names=["query_id", "chunk_id", "dense_score"],
-            )
-
-    return passages.select("chunk_id", "episode_id", "vector").mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                yield _batch_topk(*block.value, batch.slice(at, SCORED_ROWS), k)
+
+    return passages.mapInArrow(run, schema)
+
+
+def _blocks_topk(queries: DataFrame, passages: DataFrame, k: int, slices: int) -> DataFrame:
+    parts = max(1, -(-passages.count() // PASSAGE_BLOCK))
+
+    def block(df: DataFrame, own: str, number: int, other: str, count: int, key: str) -> DataFrame:
+        """``df`` dealt over ``number`` blocks, each row once for every block of the other side."""
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(number))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+        )
+
+    asked = block(queries, "_slice", slices, "_part", parts, "query_id").groupBy("_slice", "_part")
+    held = block(passages, "_part", parts, "_slice", slices, "chunk_id").groupBy("_slice", "_part")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": left.column("query_id").slice(0, 0), "chunk_id": pa.array([], "string"), "dense_score": pa.array([], "float64")})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        own = _query_block(left)
+        found = [_batch_topk(*own, batch, k) for batch in right.to_batches(SCORED_ROWS)]
+        return pa.Table.from_batches(found)
+
+    return asked.cogroup(held).applyInArrow(run, _result_schema(queries))
+
+
+def _query_block(rows: pa.Table) -> tuple[pa.Array, np.ndarray, list]:
+    ids = pa.concat_arrays(rows.column("query_id").chunks)
+    return ids, np.array(rows.column("vector").to_pylist(), np.float64), rows.column("scope").to_pylist()
+
+
+def _batch_topk(
+    ids: pa.Array, matrix: np.ndarray, scopes: list, batch: pa.RecordBatch, k: int
+) -> pa.RecordBatch:
+    # Rows in id order, so a stable sort settles ties by id.
+    batch = batch.sort_by("chunk_id")
+    flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
+    vectors = flat.astype(np.float64).reshape(batch.num_rows, -1)
+    scores = np.round(matrix @ vectors.T, SCORE_DP) + 0.0
+    if any(s is not None for s in scopes):
+        episodes = np.asarray(batch.column("episode_id").to_pylist(), dtype=object)
+        for row, scope in enumerate(scopes):
+            if scope is not None:
+                scores[row, episodes != scope] = -np.inf
+    rows, cols = _best_cells(scores, k)
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(rows)), batch.column("chunk_id").take(pa.array(cols)), pa.array(scores[rows, cols])],
+        names=["query_id", "chunk_id", "dense_score"],
+    )
 
 
 def _best_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
