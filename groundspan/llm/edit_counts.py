@@ -30,7 +30,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from groundspan.llm.tables import chunks, clean
+from groundspan.llm.tables import clean, small_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-token pattern of this vocabulary.
@@ -182,6 +182,7 @@ def count_edited(docs: DataFrame, edits: str = "edits", text: str = "text", path
                 rows.append([*row, tree.tokens[1], tree.chars[1], tree.recut, crc])
             yield pd.DataFrame(rows, columns=names, dtype="int64")
 
+    small_batches(docs.sparkSession)
     udf = F.pandas_udf(run, RESULT)
     names = [part.split()[0] for part in RESULT.split(", ")]
     return (

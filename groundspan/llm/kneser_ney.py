@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from groundspan.llm.tables import chunks, clean
+from groundspan.llm.tables import chunks, clean, small_batches
 
 BITS = 12
 BOUNDARY = 32
@@ -97,6 +97,7 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
         for cls, tokens in held.items():
             yield frame(cls, tokens)
 
+    small_batches(rows.sparkSession)
     partial = rows.select("cls", "text").mapInPandas(run, "cls string, code bigint, n bigint")
     return partial.groupBy("cls", "code").agg(F.sum("n").alias("n"))
 

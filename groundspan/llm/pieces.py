@@ -32,7 +32,7 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from groundspan.llm.tables import chunks, clean
+from groundspan.llm.tables import chunks, clean, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -183,6 +183,7 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str = MODEL) -> Data
                     same.append(own.decode(found.tolist()) == t)
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "n": [len(i) for i in ids], "same": pd.Series(same, dtype=bool)})
 
+    small_batches(docs.sparkSession)
     udf = F.pandas_udf(run, "ids array<int>, n int, same boolean")
     return (
         docs.withColumn("_pieces", udf(F.col(text)))

@@ -33,7 +33,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundspan.llm.tables import chunks, clean
+from groundspan.llm.tables import chunks, clean, small_batches
 from groundspan.staging import stage_table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -177,6 +177,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     ``n_links``: other distinct fingerprints linked to this one.
     """
+    small_batches(docs.sparkSession)
     fp = F.pandas_udf(_fingerprints, "bigint")
     marked = stage_table(
         docs.select(F.col(doc_id).alias("doc_id"), fp(F.col(text)).alias("fp")), "fingerprints"

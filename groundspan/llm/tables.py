@@ -9,12 +9,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Characters of text that a Python worker handles at once.
 CHUNK_CHARS = 1_000_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session for rows that hold whole texts.
+
+    The settings stay, as a query is planned when it is used.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def id_bucket(column: str, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % buckets
