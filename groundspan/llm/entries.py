@@ -5,10 +5,13 @@ from __future__ import annotations
 from groundspan.llm import (
     decontamination,
     edit_counts,
+    hard_negatives,
     language_id,
     license_scan,
+    line_quality,
     minimax_shards,
     one_bit_search,
+    periodic_runs,
     pieces,
     simhash,
     toxicity,
@@ -57,6 +60,18 @@ def op10_toxicity(spark, sf):
     return toxicity.toxicity_query(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op11_hard_negatives(spark, sf):
+    return hard_negatives.negatives_query(table(spark, sf, "embeddings"))
+
+
+def op12_line_quality(spark, sf):
+    return line_quality.quality_query(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op13_periodic_runs(spark, sf):
+    return periodic_runs.runs_query(table(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +85,9 @@ QUERIES = {
         op8_one_bit_search,
         op9_url_filter,
         op10_toxicity,
+        op11_hard_negatives,
+        op12_line_quality,
+        op13_periodic_runs,
     )
 }
 
@@ -77,4 +95,5 @@ ORACLE_SQL = {
     "op6_decontamination": decontamination.ORACLE_SQL,
     "op8_one_bit_search": one_bit_search.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
 }
