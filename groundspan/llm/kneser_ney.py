@@ -3,14 +3,17 @@
 A text is its runs of letters, lower-cased. Each run is read as
 ``boundary, letters, boundary``; the letters and the closing boundary are
 predicted from up to ``order - 1`` symbols before them in the same run. An
-n-gram is one number: 12 bits a symbol, the predicted symbol lowest, zeros
-before the start of the run.
-
-Counting and all sums over n-grams are Spark aggregations over every row. What
-reaches the driver and the workers has a fixed bound: per order and kind, a
-hash of the n-gram picks one of ``slots`` slots, and the most frequent n-gram of
-a slot is kept. The others are scored by their shorter n-grams. Workers look
-n-grams up in the sorted arrays by binary search.
+n-gram is two numbers of 63 bits, 21 bits a symbol, so every character keeps its
+own code point: ``lo`` holds the predicted symbol (lowest) and the two before it,
+``hi`` the ones before these, zeros stand before the start of the run.
+
+Counting is one Spark aggregation over the rows. The counts of the highest order
+then reach the driver, which derives the shorter orders from them, and the model is
+sent to the workers, which look n-grams up in arrays sorted by a hash (and compare
+the n-gram itself). No n-gram of a counted row is dropped. What bounds the model is
+the rows: if there are more than ``MODEL_GRAMS`` counts, the labelled rows of the
+classes that have more than their share are halved, by a hash of the id, until all
+n-grams of the rest fit.
 """
 
 from __future__ import annotations
@@ -26,14 +29,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from groundspan.llm.tables import chunks, clean, small_batches
+from groundspan.staging import stage_table
 
-BITS = 12
+BITS, HELD = 21, 3
 BOUNDARY = 32
 DISCOUNT = 0.75
-SLOTS = 1 << 20
+# Counts (one for each class, fold and n-gram) of which a model may be made.
+MODEL_GRAMS = 4_000_000
 HELD_CHARS = 500_000
-CACHED_CHARS = 1_500_000
-SCORED_CHARS = 100_000
+CACHED_CELLS = 6_000_000
+SCORED_CELLS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -47,27 +52,55 @@ def words_of(text: str) -> list[str]:
     return found
 
 
-def grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram, index of its word) for each predicted symbol of ``words``."""
+def grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hi, lo, index of its word, a number equal for equal n-grams) for each predicted symbol of ``words``."""
+    if order > 2 * HELD:
+        raise ValueError(f"an n-gram holds at most {2 * HELD} symbols")
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.empty(0, np.int64) for _ in range(4))
     joined = f" {' '.join(words)} "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    top = 1 << BITS
-    symbols = np.where(points < top, points, 1 + points * 2654435761 % (top - 1))
+    present = np.bincount(points) > 0
+    size = int(present.sum()) + 1
+    short = np.cumsum(present)[points]  # 1 to size - 1
     space = points == BOUNDARY
     at = np.arange(len(points))
     start = np.maximum.accumulate(np.where(space, at, 0))[:-1]
     word = np.cumsum(space)[:-1] - 1
-    code = symbols[1:].copy()
+    hi, lo, number = np.zeros(len(word), np.int64), points[1:].copy(), short[1:].copy()
+    fits = size**order < 2**63
     for back in range(1, order):
         before = at[1:] - back
-        code |= np.where(before >= start, symbols[np.maximum(before, 0)] << (BITS * back), 0)
-    return code, word
+        inside = before >= start
+        symbol = np.where(inside, points[np.maximum(before, 0)], 0)
+        if back < HELD:
+            lo |= symbol << (BITS * back)
+        else:
+            hi |= symbol << (BITS * (back - HELD))
+        if fits:
+            number += np.where(inside, short[np.maximum(before, 0)], 0) * size**back
+    if not fits:
+        order_of = np.lexsort((lo, hi))
+        new = np.ones(len(lo), bool)
+        new[1:] = (lo[order_of[1:]] != lo[order_of[:-1]]) | (hi[order_of[1:]] != hi[order_of[:-1]])
+        number[order_of] = np.cumsum(new)
+    return hi, lo, word, number
+
+
+def suffix(hi, lo, k: int):
+    """The last ``k`` symbols of n-grams."""
+    if k <= HELD:
+        return hi * 0, lo & ((1 << (BITS * k)) - 1)
+    return hi & ((1 << (BITS * (k - HELD))) - 1), lo
+
+
+def context(hi, lo):
+    """All symbols but the predicted one."""
+    return hi >> BITS, (lo >> BITS) | ((hi & ((1 << BITS) - 1)) << (BITS * (HELD - 1)))
 
 
 def count_grams(rows: DataFrame, order: int) -> DataFrame:
-    """(cls, code, n) summed over all rows of (cls, text).
+    """(cls, hi, lo, n) summed over all rows of (cls, text).
 
     A task keeps the tokens between white space with their counts, up to
     ``HELD_CHARS`` characters of them, and turns these into n-grams.
@@ -77,10 +110,10 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
         found = [words_of(t) for t in tokens]
         sizes = np.fromiter((len(f) for f in found), np.int64, len(found))
         times = np.repeat(np.fromiter(tokens.values(), np.int64, len(found)), sizes)
-        code, word = grams([w for f in found for w in f], order)
-        kept, inverse = np.unique(code, return_inverse=True)
+        hi, lo, word, number = grams([w for f in found for w in f], order)
+        kept, first, inverse = np.unique(number, return_index=True, return_inverse=True)
         counts = np.bincount(inverse, times[word], len(kept)).astype(np.int64)
-        return pd.DataFrame({"cls": np.full(len(kept), cls, object), "code": kept, "n": counts})
+        return pd.DataFrame({"cls": np.full(len(kept), cls, object), "hi": hi[first], "lo": lo[first], "n": counts})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Counter] = {}
@@ -98,13 +131,119 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
             yield frame(cls, tokens)
 
     small_batches(rows.sparkSession)
-    partial = rows.select("cls", "text").mapInPandas(run, "cls string, code bigint, n bigint")
-    return partial.groupBy("cls", "code").agg(F.sum("n").alias("n"))
+    partial = rows.select("cls", "text").mapInPandas(run, "cls string, hi bigint, lo bigint, n bigint")
+    return partial.groupBy("cls", "hi", "lo").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Counts:
+    """Counts of the highest order: names of classes, and per row its class, n-gram and count."""
+
+    classes: list[str]
+    cls: np.ndarray
+    hi: np.ndarray
+    lo: np.ndarray
+    n: np.ndarray
+
+    def of(self, names: list[str]) -> Counts:
+        """Only the classes named."""
+        own = {self.classes.index(name) for name in names}
+        rows = np.isin(self.cls, list(own))
+        return Counts(self.classes, self.cls[rows], self.hi[rows], self.lo[rows], self.n[rows])
+
+    def renamed(self, name, also: list[str] = []) -> Counts:
+        """Classes of one new name are put together; ``name`` maps old names to new ones.
+
+        ``also`` names classes that are there even without a count.
+        """
+        new = sorted({*also, *map(name, self.classes)})
+        place = np.array([new.index(name(c)) for c in self.classes], np.int64)
+        cls = place[self.cls] if len(self.cls) else self.cls
+        return Counts(new, *summed(cls, self.hi, self.lo, self.n))
+
+
+def gathered(rows: DataFrame, order: int, limit: int | None = None) -> Counts:
+    """The counts of (cls, doc_id, text); see the module for what bounds them."""
+    limit = MODEL_GRAMS if limit is None else limit
+    draw = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    shares: dict[str, float] = {}
+    while True:
+        kept = F.coalesce(*[F.when(F.col("cls") == c, draw <= share) for c, share in shares.items()], F.lit(True))
+        counted = stage_table(count_grams(rows.where(kept) if shares else rows, order), "grams")
+        sizes = {r["cls"]: r["count"] for r in counted.groupBy("cls").count().collect()}
+        if sum(sizes.values()) <= limit:
+            break
+        # classes with more than an even share give rows up, small ones none
+        for c, size in sizes.items():
+            if size > limit / len(sizes):
+                shares[c] = shares.get(c, 1.0) / 2
+    found = counted.toArrow()
+    names = found["cls"].combine_chunks().dictionary_encode()
+    values = [found[c].to_numpy().astype(np.int64) for c in ("hi", "lo", "n")]
+    return Counts(names.dictionary.to_pylist(), names.indices.to_numpy(zero_copy_only=False).astype(np.int64), *values)
+
+
+def summed(cls: np.ndarray, hi: np.ndarray, lo: np.ndarray, n: np.ndarray, kinds: bool = False):
+    """Rows of one class and n-gram as one; with ``kinds`` also how many there were."""
+    order = np.lexsort((cls, lo, hi))
+    cls, hi, lo, n = cls[order], hi[order], lo[order], n[order]
+    new = np.ones(len(n), bool)
+    new[1:] = (cls[1:] != cls[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(n, first) if len(first) else n
+    out = cls[first], hi[first], lo[first], total
+    return (*out, np.diff(np.append(first, len(n)))) if kinds else out
+
+
+class Table:
+    """Values of n-grams by class, found by a hash of the n-gram."""
+
+    def __init__(self, cls: np.ndarray, hi: np.ndarray, lo: np.ndarray, *values: np.ndarray):
+        new = np.ones(len(lo), bool)
+        new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+        first = np.flatnonzero(new)
+        self.seed, hashes = 0, self._hashed(hi[first], lo[first], 0)
+        while len(np.unique(hashes)) < len(hashes):
+            self.seed += 1
+            hashes = self._hashed(hi[first], lo[first], self.seed)
+        order = np.argsort(hashes)
+        self.hashes, self.hi, self.lo = hashes[order], hi[first][order], lo[first][order]
+        self.begin, self.size = first[order], np.diff(np.append(first, len(lo)))[order]
+        self.cls, self.values = cls.astype(np.int32), [v.astype(np.float32) for v in values]
+
+    @staticmethod
+    def _hashed(hi: np.ndarray, lo: np.ndarray, seed: int) -> np.ndarray:
+        h = hi.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        h = (h ^ (h >> np.uint64(29)) ^ lo.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Place of each n-gram, or -1."""
+        if not len(self.hashes):
+            return np.full(len(lo), -1)
+        wanted = self._hashed(hi, lo, self.seed)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where((self.hi[at] == hi) & (self.lo[at] == lo), at, -1)
+
+    def read(self, at: np.ndarray, classes: int) -> list[np.ndarray]:
+        """For each value a row per place (zeros for -1) and a column per class."""
+        out = [np.zeros((len(at), classes)) for _ in self.values]
+        known = np.flatnonzero(at >= 0)
+        size = self.size[at[known]]
+        row = np.repeat(known, size)
+        place = np.repeat(self.begin[at[known]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        for filled, values in zip(out, self.values):
+            filled[row, self.cls[place]] = values[place]
+        return out
 
 
 @dataclass
 class KneserNey:
-    """Sorted n-gram arrays with a column per class, and a last one for all classes.
+    """One model per class: for each order the counts of n-grams and of their contexts.
 
     ``shared_to``: orders up to this one use the counts of all classes together.
     """
@@ -113,8 +252,8 @@ class KneserNey:
     order: int
     shared_to: int
     symbols: int
-    counts: dict[int, tuple[np.ndarray, np.ndarray]]
-    contexts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    counts: dict[int, Table]
+    contexts: dict[int, Table]
     # tokens seen before by this process: number of each, and its words from first[number]
     # to first[number + 1] in rows (scores) and symbols_of
     seen: dict[str, int] = field(default_factory=dict)
@@ -123,34 +262,18 @@ class KneserNey:
     rows: np.ndarray | None = None
     symbols_of: np.ndarray | None = None
 
-    def _columns(self, order: int) -> list[int]:
-        own = range(len(self.classes))
-        return [len(self.classes)] * len(own) if order <= self.shared_to else list(own)
-
-    def _find(self, keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Place of each wanted key, or -1."""
-        if not len(keys):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, at, -1)
-
-    def _probabilities(self, code: np.ndarray) -> np.ndarray:
-        p = np.full((len(code), len(self.classes)), 1.0 / max(self.symbols, 1))
+    def _probabilities(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        c = len(self.classes)
+        p = np.full((len(lo), c), 1.0 / max(self.symbols, 1))
         for k in range(1, self.order + 1):
-            own = code & ((1 << (BITS * k)) - 1)
-            keys, total, kinds = self.contexts[k]
-            at = self._find(keys, own >> BITS)
+            own = suffix(hi, lo, k)
+            at = self.contexts[k].find(*context(*own))
             known = np.flatnonzero(at >= 0)
             if not len(known):
                 continue
-            columns = self._columns(k)
-            total = total[at[known]][:, columns]
-            kinds = kinds[at[known]][:, columns]
-            keys, values = self.counts[k]
-            n = np.zeros((len(known), len(columns)))
-            if len(keys):
-                at = self._find(keys, own[known])
-                n[at >= 0] = values[at[at >= 0]][:, columns]
+            columns = 1 if k <= self.shared_to else c
+            total, kinds = self.contexts[k].read(at[known], columns)
+            (n,) = self.counts[k].read(self.counts[k].find(own[0][known], own[1][known]), columns)
             mixed = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * p[known]) / np.maximum(total, 1)
             p[known] = np.where(total > 0, mixed, p[known])
         return p
@@ -166,7 +289,7 @@ class KneserNey:
         distinct = set(tokens)
         new = distinct - self.seen.keys()
         chars = sum(map(len, new))
-        if self.first is None or self.seen_chars + chars > CACHED_CHARS:
+        if self.first is None or (self.seen_chars + chars) * len(self.classes) > CACHED_CELLS:
             self.seen, self.seen_chars, new = {}, 0, distinct
             chars = sum(map(len, new))
             self.first, self.symbols_of = np.zeros(1, np.int64), np.zeros(0, np.int64)
@@ -196,64 +319,36 @@ class KneserNey:
 
     def _scored(self, words: list[str]) -> np.ndarray:
         scores = np.zeros((len(words), len(self.classes)))
-        for part in chunks(words, SCORED_CHARS):
-            code, word = grams(words[part], self.order)
-            distinct, number = np.unique(code, return_inverse=True)
-            logs = np.log(np.maximum(self._probabilities(distinct), 1e-12))[number]
+        for part in chunks(words, max(1, SCORED_CELLS // len(self.classes))):
+            hi, lo, word, number = grams(words[part], self.order)
+            _, first, number = np.unique(number, return_index=True, return_inverse=True)
+            logs = np.log(np.maximum(self._probabilities(hi[first], lo[first]), 1e-12))[number]
             own = scores[part]
             for c in range(len(self.classes)):
                 own[:, c] = np.bincount(word, logs[:, c], len(own))
         return scores
 
 
-def fit(
-    counts: DataFrame, classes: list[str], order: int, shared_to: int = 0, slots: int = SLOTS
-) -> KneserNey:
-    """A model from (cls, code, n), in one Spark job over the counts.
+def fit(counts: Counts, order: int, shared_to: int = 0) -> KneserNey:
+    """A model from the counts of the highest order.
 
-    Below the highest order a count is the number of different symbols seen
-    before the n-gram; n-grams at the start of a word keep their own count.
+    Below it a count is the number of different symbols seen before the n-gram;
+    n-grams at the start of a word keep their own count.
     """
-    c = len(classes)
-    number = F.coalesce(*[F.when(F.col("cls") == name, i) for i, name in enumerate(classes)])
-    own = counts.select(number.alias("cls"), "code", "n").where("cls is not null")
-    level = own.unionByName(
-        own.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(c).alias("cls"), "code", "n")
-    )
-    tables = []
-    for k in range(order, 0, -1):
-        if k < order:
-            mask = (1 << (BITS * k)) - 1
-            seen = F.when(F.col("code") <= mask, F.col("n")).otherwise(F.lit(1))
-            level = level.groupBy(
-                "cls", F.col("code").bitwiseAND(F.lit(mask)).alias("code")
-            ).agg(F.sum(seen).alias("n"))
-        context = F.shiftright("code", BITS)
-        for kind, key in ((0, F.col("code")), (1, context)):
-            at = [F.col("cls") == i for i in range(c + 1)]
-            sums = [F.sum(F.when(w, F.col("n")).otherwise(0)).alias(f"v{i}") for i, w in enumerate(at)]
-            kinds = [F.count_if(w).alias(f"u{i}") for i, w in enumerate(at)] if kind else []
-            rows = level.groupBy(key.alias("code")).agg(*sums, *kinds)
-            if not kind:
-                rows = rows.withColumns({f"u{i}": F.lit(0).cast("bigint") for i in range(c + 1)})
-            held = F.struct("code", *[f"v{i}" for i in range(c + 1)], *[f"u{i}" for i in range(c + 1)])
-            tables.append(
-                rows.groupBy(F.pmod(F.xxhash64("code"), F.lit(slots)).alias("slot"))
-                .agg(F.max_by(held, F.struct(f"v{c}", "code")).alias("r"))
-                .select(F.lit(k).alias("k"), F.lit(kind).alias("kind"), "r.*")
-            )
-    union = tables[0]
-    for t in tables[1:]:
-        union = union.unionByName(t)
-    found = union.toArrow().to_pandas()
-    grams_of, contexts = {}, {}
-    for k in range(1, order + 1):
-        for kind in (0, 1):
-            own = found[(found["k"] == k) & (found["kind"] == kind)].sort_values("code")
-            keys = own["code"].to_numpy(np.int64)
-            sums = own[[f"v{i}" for i in range(c + 1)]].to_numpy(np.float32)
-            if kind:
-                contexts[k] = keys, sums, own[[f"u{i}" for i in range(c + 1)]].to_numpy(np.float32)
-            else:
-                grams_of[k] = keys, sums
-    return KneserNey(classes, order, shared_to, len(grams_of[1][0]), grams_of, contexts)
+
+    def levels(cls, hi, lo, n, wanted) -> None:
+        for k in range(order, 0, -1):
+            if k < order:
+                short = suffix(hi, lo, k)
+                at_start = (short[0] == hi) & (short[1] == lo)
+                cls, hi, lo, n = summed(cls, *short, np.where(at_start, n, 1))
+            if k in wanted:
+                tables[k] = Table(cls, hi, lo, n)
+                contexts[k] = Table(*summed(cls, *context(hi, lo), n, kinds=True))
+
+    tables, contexts = {}, {}
+    own = summed(counts.cls, counts.hi, counts.lo, counts.n)
+    levels(*own, range(shared_to + 1, order + 1))
+    if shared_to:
+        levels(*summed(own[0] * 0, *own[1:]), range(1, shared_to + 1))
+    return KneserNey(counts.classes, order, shared_to, len(tables[1]), tables, contexts)

@@ -15,37 +15,143 @@ from groundspan.llm.tables import table
 ODD_TEXTS = [None, "", " ", "a  b", " a", "a ", "\n\na\tb\r\n", "é́ ﬁ Ａ", "　x", "\x00a", "<s> </s> <0x41>", "🙂🙂 ok", "don't we'll   \n\n  it's 12,345", "x" * 5000, "ab " * 3000, "12 ½ ２ ②"]
 
 
-def plain_kn(counts, order, symbols, code):
-    """Interpolated Kneser-Ney straight from its definition; counts: {code: n}."""
-    mask = lambda k: (1 << (12 * k)) - 1
+def plain_kn(counts, order, symbols, gram):
+    """Interpolated Kneser-Ney straight from its definition; counts: {gram: n}, a gram
+    a tuple of ``order`` symbols, None before the start of a word."""
     levels = {order: dict(counts)}
     for k in range(order - 1, 0, -1):
         own = {}
-        for c, n in levels[k + 1].items():
-            own[c & mask(k)] = own.get(c & mask(k), 0) + (n if c <= mask(k) else 1)
+        for g, n in levels[k + 1].items():
+            own[g[1:]] = own.get(g[1:], 0) + (n if g[0] is None else 1)
         levels[k] = own
     p = 1 / symbols
     for k in range(1, order + 1):
-        c = code & mask(k)
-        same = [n for d, n in levels[k].items() if d >> 12 == c >> 12]
+        g = gram[order - k :]
+        same = [n for d, n in levels[k].items() if d[:-1] == g[:-1]]
         if same:
-            p = (max(levels[k].get(c, 0) - 0.75, 0) + 0.75 * len(same) * p) / sum(same)
+            p = (max(levels[k].get(g, 0) - 0.75, 0) + 0.75 * len(same) * p) / sum(same)
     return p
 
 
-def test_kneser_ney_equals_its_definition(spark):
-    texts = ["banana bandana", "Ban 12 an!", "öl nab"]
-    rows = spark.createDataFrame([("x", t) for t in texts] + [("y", "other words here")], "cls string, text string")
-    model = kneser_ney.fit(kneser_ney.count_grams(rows, 3), ["x", "y"], 3)
-    words = [w for t in texts for w in kneser_ney.words_of(t)]
-    codes, _ = kneser_ney.grams(words, 3)
+def plain_words(text):
+    return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+
+def plain_grams(words, order):
+    out = []
+    for word in words:
+        run = (None,) * (order - 2) + (" ", *word, " ")
+        out += [run[i : i + order] for i in range(len(run) - order + 1)]
+    return out
+
+
+def plain_counts(texts, order):
     counts = {}
-    for c in codes.tolist():
-        counts[c] = counts.get(c, 0) + 1
-    asked, _ = kneser_ney.grams(["banana", "bö", "zzz"], 3)
-    got = model._probabilities(asked)[:, 0]
-    want = [plain_kn(counts, 3, model.symbols, c) for c in asked.tolist()]
-    assert np.allclose(got, want, rtol=1e-5)
+    for g in (g for t in texts for g in plain_grams(plain_words(t), order)):
+        counts[g] = counts.get(g, 0) + 1
+    return counts
+
+
+IDEOGRAPHS = "".join(chr(0x4E00 + i) for i in range(0, 20_000, 7))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4, 5])
+def test_kneser_ney_equals_its_definition(spark, order):
+    texts = ["banana bandana", "Ban 12 an!", "öl nab 🙂𐐨𐐨", IDEOGRAPHS[:30] + " " + IDEOGRAPHS[2:9]]
+    rows = spark.createDataFrame([(1, "x", t) for t in texts] + [(2, "y", "other words here")], "doc_id long, cls string, text string")
+    model = kneser_ney.fit(kneser_ney.gathered(rows, order), order)
+    counts = plain_counts(texts, order)
+    for word in ["banana", "bö", "zzz", "𐐨", IDEOGRAPHS[3:6], IDEOGRAPHS[2700:2702], "b"]:
+        hi, lo, _, _ = kneser_ney.grams([word], order)
+        want = [plain_kn(counts, order, model.symbols, g) for g in plain_grams([word], order)]
+        assert np.allclose(model._probabilities(hi, lo)[:, 0], want, rtol=1e-5)
+
+
+def test_every_symbol_is_kept(spark):
+    """Thousands of ideographs: none is folded into another, none is dropped."""
+    rows = spark.createDataFrame([(1, "zh", IDEOGRAPHS), (2, "en", "plain words")], "doc_id long, cls string, text string")
+    model = kneser_ney.fit(kneser_ney.gathered(rows, 4), 4)
+    assert model.symbols == len(set(IDEOGRAPHS + "plainwords")) + 1
+    many = "".join(chr(0x4E00 + i) for i in range(20_000))  # too many for one number a gram
+    hi, lo, _, number = kneser_ney.grams([many, many[:9000]], 5)
+    assert len(np.unique(number)) == len(set(zip(hi.tolist(), lo.tolist())))
+
+
+def test_few_counts_halve_the_rows_of_large_classes(spark):
+    rng = random.Random(8)
+    rows = [(i, "aa", "".join(rng.choice("abcdefghij") for _ in range(40))) for i in range(300)] + [(i, "bb", "rare word") for i in range(3)]
+    table_of = spark.createDataFrame(rows, "doc_id long, cls string, text string")
+    whole = kneser_ney.gathered(table_of, 4)
+    part = kneser_ney.gathered(table_of, 4, limit=3_000)
+    size = lambda counts, c: int((counts.cls == counts.classes.index(c)).sum())
+    assert len(part.n) <= 3_000 < len(whole.n) and size(part, "bb") == size(whole, "bb") == 10
+
+
+def test_languages_equal_plain_models(spark):
+    """Predictions and scores of the query, with a class of ideographs, from the definition."""
+    rng = random.Random(11)
+    letters = {"aa": "abcdef", "bb": "defghij", "zh": IDEOGRAPHS[:60]}
+    rows = []
+    for i in range(60):
+        lang = ["aa", "bb", "zh", None][i % 4]
+        own = letters[lang or "aa"]
+        rows.append((i, " ".join("".join(rng.choice(own) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 12))), lang))
+    found = {r["doc_id"]: r for r in language_id.language_query(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    learnt = {c: [t for i, t, lang in rows if lang == c and zlib.crc32(str(i).encode()) % 4 != 2] for c in letters}
+    counts = {c: plain_counts(texts, 4) for c, texts in learnt.items()}
+    symbols = len({g[-1] for own in counts.values() for g in own})
+    for i, text, _ in rows:
+        grams = plain_grams(plain_words(text), 4)
+        entropy = {c: -sum(math.log(plain_kn(counts[c], 4, symbols, g)) for g in grams) / len(grams) for c in sorted(letters)}
+        best = min(entropy, key=entropy.get)
+        score = 1 / sum(math.exp(-(e - entropy[best]) * min(len(grams), language_id.EVIDENCE)) for e in entropy.values())
+        assert found[i]["lang_pred"] == best and abs(found[i]["score"] - score) < 1e-4
+        assert found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_toxicity_features_equal_plain_models(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeö") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    texts = {c: [" ".join(rng.choice(words[k : k + 40]) for _ in range(9)) for _ in range(6)] for k, c in ((0, "ordinary"), (20, "toxic"))}
+    rows = spark.createDataFrame([(i, c, t) for c in texts for i, t in enumerate(texts[c])], "doc_id long, cls string, text string")
+    model = kneser_ney.fit(kneser_ney.gathered(rows, 5), 5, toxicity.SHARED_TO)
+    asked = ["ab ddd " + words[3] + " " + words[50], "", "zz 12 " + words[30] + " " + words[30]]
+    own = {c: plain_counts(texts[c], 5) for c in texts}
+    both = plain_counts(texts["ordinary"] + texts["toxic"], 5)
+    symbols = len({g[-1] for g in both})
+
+    def shared(counts, gram):
+        """Orders up to the shared one from the counts of both classes."""
+        low = plain_kn(own_level(both, 2), 2, symbols, gram[-2:])
+        p = low
+        levels = counts
+        for k in (3, 4, 5):
+            level = own_level(levels, k)
+            g = gram[5 - k :]
+            same = [n for d, n in level.items() if d[:-1] == g[:-1]]
+            if same:
+                p = (max(level.get(g, 0) - 0.75, 0) + 0.75 * len(same) * p) / sum(same)
+        return p
+
+    def own_level(counts, k):
+        size = len(next(iter(counts)))
+        while size > k:
+            less = {}
+            for g, n in counts.items():
+                less[g[1:]] = less.get(g[1:], 0) + (n if g[0] is None else 1)
+            counts, size = less, size - 1
+        return counts
+
+    for got, text in zip(toxicity.features(model, asked), asked):
+        evidence, total, symbols_of = [], 0.0, 0
+        for word in plain_words(text):
+            grams = plain_grams([word], 5)
+            difference = sum(math.log(shared(own["toxic"], g)) - math.log(shared(own["ordinary"], g)) for g in grams)
+            evidence.append(difference / len(grams))
+            total, symbols_of = total + difference, symbols_of + len(grams)
+        top = [max(e, 0) for e in sorted(evidence, reverse=True)[:3]]
+        want = [total / max(symbols_of, 1), *top, *[0.0] * (3 - len(top))]
+        assert np.allclose(got, want, atol=1e-4)
 
 
 def test_languages_held_out(spark, sf):
