@@ -185,11 +185,9 @@ def count_edited(docs: DataFrame, edits: str = "edits", text: str = "text", path
     small_batches(docs.sparkSession)
     udf = F.pandas_udf(run, RESULT)
     names = [part.split()[0] for part in RESULT.split(", ")]
-    return (
-        docs.withColumn("_count", udf(F.col(text), F.col(edits)))
-        .withColumns({n: F.col(f"_count.{n}") for n in names})
-        .drop("_count")
-    )
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    held = docs.select(F.struct(*others).alias("row"), udf(F.col(text), F.col(edits)).alias("counted"))
+    return held.select("row.*", *[f"counted.{n}" for n in names])
 
 
 def revisions(docs: DataFrame, count: int = 3) -> DataFrame:

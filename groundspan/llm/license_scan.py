@@ -14,6 +14,7 @@ judged alike. Results replace columns of their names.
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 from functools import cache
 from typing import Iterator
@@ -23,7 +24,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from groundspan.llm.tables import chunks, clean
+from groundspan.llm.tables import chunks, clean, small_batches
 
 
 @dataclass(frozen=True)
@@ -77,38 +78,35 @@ def word_line(text: str) -> bytes:
 
 
 def places(line: str, notice: Notice) -> list[tuple[int, int, int]]:
-    """(start, end, edits) of a notice in a word line, not overlapping."""
-    windows: list[list[int]] = []
+    """(start, end, edits) of a notice in a word line.
+
+    All places without an edit; of the others, each the best match around one seed,
+    those that overlap no better one (fewer edits, then further left).
+    """
+    exact, at, size = f" {notice.phrase} ", -1, len(notice.phrase)
+    found: list[tuple[int, int, int]] = []
+    while (at := line.find(exact, at + 1)) >= 0:
+        found.append((at + 1, at + 1 + size, 0))
+    if not notice.edits:
+        return found
     starts = set()
-    for seed, at in seeds(notice.phrase, notice.edits):
-        found = line.find(seed)
-        while found >= 0:
-            starts.add(found - at)
-            found = line.find(seed, found + 1)
-    reach = notice.edits + 1
-    for start in sorted(starts):
-        begin, end = max(start - reach, 0), min(start + len(notice.phrase) + reach, len(line))
-        if windows and begin <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], end)
-        else:
-            windows.append([begin, end])
-    found = set()
-    for begin, end in windows:
-        # first what is there without an edit, so that no edited span hides it
-        exact, at = f" {notice.phrase} ", begin
-        spans = []
-        while (at := line.find(exact, at, end)) >= 0:
-            spans.append((at + 1, at + 1 + len(notice.phrase)))
-            found.add((*spans[-1], 0))
-            at += 1
-        edge = begin
-        for a, b in [*spans, (end, end)]:
-            if notice.edits and a - edge >= len(notice.phrase) - notice.edits:
-                for m in _pattern(notice.phrase, notice.edits).finditer(line, edge, min(a, end)):
-                    if m.end() > m.start():
-                        found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
-            edge = b
-    return sorted(found)
+    for seed, offset in seeds(notice.phrase, notice.edits):
+        at = line.find(seed)
+        while at >= 0:
+            starts.add(at - offset)
+            at = line.find(seed, at + 1)
+    starts -= {start for start, _, _ in found}
+    reach, edited = notice.edits + 1, set()
+    for start in starts:
+        # a match that holds this seed in its place, and any other match in here, overlap
+        m = _pattern(notice.phrase, notice.edits).search(line, max(start - reach, 0), min(start + size + reach, len(line)))
+        if m and m.end() > m.start():
+            edited.add((sum(m.fuzzy_counts), m.start(), m.end()))
+    for edits, start, end in sorted(edited):
+        after = bisect.bisect_left(found, (start, 0, 0))
+        if (after == 0 or found[after - 1][1] <= start) and (after == len(found) or found[after][0] >= end):
+            found.insert(after, (start, end, edits))
+    return found
 
 
 def scan(text: str, notices: tuple[Notice, ...] = NOTICES) -> tuple[int, list[tuple]]:
@@ -152,10 +150,11 @@ def license_places(docs: DataFrame, text: str = "text", notices: tuple[Notice, .
             yield pd.DataFrame({"n": pd.Series(counts, dtype="int64"), "p": found, "s": pd.Series(scores, dtype="float64")})
 
     udf = F.pandas_udf(run, f"n bigint, p array<{SPAN}>, s double")
-    return (
-        docs.withColumn("_scan", udf(F.col(text)))
-        .withColumns({"n_words": F.col("_scan.n"), "places": F.col("_scan.p"), "license_score": F.col("_scan.s")})
-        .drop("_scan")
+    small_batches(docs.sparkSession)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in {"n_words", "places", "license_score"}]
+    held = docs.select(F.struct(*others).alias("row"), udf(F.col(text)).alias("scan"))
+    return held.select(
+        "row.*", F.col("scan.n").alias("n_words"), F.col("scan.p").alias("places"), F.col("scan.s").alias("license_score")
     )
 
 

@@ -9,9 +9,10 @@ reaches the ``k``-th best exact score among the best estimates are reranked on
 the original vectors in double precision.
 
 The index holds every vector: blocks of about ``BLOCK`` rows, each one row with
-packed codes, scalars and vectors. Queries are blocks too; a query block meets
-each vector block once (a stated query set against all rows, in blocks), and
-only ``k`` rows per query and block are shuffled on.
+packed codes, scalars and vectors. Queries are blocks too; each query block is sent
+to every vector block (a stated query set against all rows, in blocks). A vector
+block is moved once, to where its query blocks come by, and only ``k`` rows per query
+and block are shuffled on.
 
 Cases: vectors null, zero, or with null or non-finite components take no part,
 nor do those of another length than the commonest (of equally common, the
@@ -28,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from groundspan.llm.tables import small_batches
 from groundspan.staging import stage_table
 
 BLOCK, QUERY_BLOCK = 8192, 1024
@@ -49,7 +51,8 @@ def usable(vector: Column) -> Column:
 def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray):
     """(packed codes, distances to the centre, inner products of direction and code)."""
     residual = (vectors - centre) @ turn.T
-    norm = np.sqrt((residual**2).sum(axis=1))
+    top = np.maximum(np.abs(residual).max(axis=1, initial=0), 1e-300)
+    norm = top * np.sqrt(((residual / top[:, None]) ** 2).sum(axis=1))
     signs = residual > 0
     unit = residual / np.maximum(norm, 1e-300)[:, None]
     fit = np.abs(unit).sum(axis=1) / np.sqrt(vectors.shape[1])
@@ -60,11 +63,13 @@ def estimate(codes, norm, fit, centre: np.ndarray, turn: np.ndarray, queries: np
     """(estimates, error bounds) of shape (vectors, queries)."""
     dim = queries.shape[1]
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    turned = (queries @ turn.T).astype(np.float32)
-    inner = signs @ turned.T / (np.sqrt(dim) * fit[:, None])
+    top = np.maximum(np.abs(queries).max(axis=1, initial=0), 1e-300)
+    length = top * np.sqrt(((queries / top[:, None]) ** 2).sum(axis=1))
+    # of length one, so that single precision holds any query
+    turned = (queries / length[:, None] @ turn.T).astype(np.float32)
+    inner = signs @ turned.T / (np.sqrt(dim) * fit[:, None]) * length
     error = np.sqrt(np.maximum(1 - fit**2, 0)) / fit * EPSILON / np.sqrt(max(dim - 1, 1))
-    length = np.sqrt((queries**2).sum(axis=1))
-    return queries @ centre + norm[:, None] * inner, (norm * error)[:, None] * length + 1e-6
+    return queries @ centre + norm[:, None] * inner, ((norm * error)[:, None] + 1e-6 * norm[:, None] + 1e-300) * length
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -107,8 +112,8 @@ def _blocks(rows: DataFrame, size: int, count: int, dim: int, centre, turn) -> D
 
     def pack(block: pd.DataFrame) -> pd.DataFrame:
         centre, turn = shared.value
-        vectors = np.array(block["vector"].to_list(), np.float32).reshape(-1, dim)
-        codes, norm, fit = encode(vectors.astype(float), centre, turn)
+        vectors = np.array(block["vector"].to_list(), float).reshape(-1, dim)
+        codes, norm, fit = encode(vectors, centre, turn)
         return pd.DataFrame(
             {
                 "block": [block["block"].iloc[0]],
@@ -131,7 +136,7 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest others of each query row."""
     spark = vectors.sparkSession
-    held = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"), is_query.alias("q"))
+    held = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("q"))
     good = stage_table(
         held.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
         .groupBy("vec_id")
@@ -145,7 +150,7 @@ def search(
     dim = common["dim"]
     good = good.where(F.size("vector") == dim)
     seen = good.agg(
-        F.count("*"), F.count_if("q"), *[F.avg(F.get("vector", F.lit(i)).cast("double")) for i in range(dim)]
+        F.count("*"), F.count_if("q"), *[F.avg(F.get("vector", F.lit(i))) for i in range(dim)]
     ).first()
     total, asked, centre = seen[0], seen[1], np.array(seen[2:], float)
     turn = rotation(dim)
@@ -158,28 +163,29 @@ def search(
     meetings = questions.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block")
     shared = spark.sparkContext.broadcast((centre, turn))
 
-    def meet(pairs: pd.DataFrame) -> pd.DataFrame:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centre, turn = shared.value
-        found = []
-        for r in pairs.itertuples():
-            read = lambda raw, kind, shape=-1: np.frombuffer(raw, kind).reshape(shape)
+        read = lambda raw, kind, shape=-1: np.frombuffer(raw, kind).reshape(shape)
+        for r in (r for batch in batches for r in batch.itertuples()):
             ids = read(r.ids, np.int64)
-            found += best_of_block(
+            found = best_of_block(
                 ids,
-                read(r.vectors, np.float32, (-1, dim)).astype(float),
+                read(r.vectors, float, (-1, dim)),
                 read(r.codes, np.uint8, (len(ids), -1)),
                 read(r.norm, float),
                 read(r.fit, float),
                 centre,
                 turn,
                 read(r.q_ids, np.int64),
-                read(r.q_vectors, np.float32, (-1, dim)).astype(float),
+                read(r.q_vectors, float, (-1, dim)),
                 k,
             )[0]
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
+            if found:
+                columns = [np.concatenate(c) for c in zip(*found)]
+                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
-    nearest = meetings.groupBy("block", "q_block").applyInPandas(meet, result)
+    small_batches(spark)
+    nearest = meetings.mapInPandas(meet, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         nearest.withColumn("rank", F.row_number().over(order))

@@ -185,10 +185,10 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str = MODEL) -> Data
 
     small_batches(docs.sparkSession)
     udf = F.pandas_udf(run, "ids array<int>, n int, same boolean")
-    return (
-        docs.withColumn("_pieces", udf(F.col(text)))
-        .withColumns({"ids": F.col("_pieces.ids"), "n_tokens": F.col("_pieces.n"), "round_trip": F.col("_pieces.same")})
-        .drop("_pieces")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in {"ids", "n_tokens", "round_trip"}]
+    held = docs.select(F.struct(*others).alias("row"), udf(F.col(text)).alias("pieces"))
+    return held.select(
+        "row.*", "pieces.ids", F.col("pieces.n").alias("n_tokens"), F.col("pieces.same").alias("round_trip")
     )
 
 
