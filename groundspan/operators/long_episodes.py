@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 from groundspan import schemas
 from groundspan.functions.passages import PassageRule
 from groundspan.functions.text import ends_sentence
+from groundspan.operators.segments import chunk_segments
 from groundspan.settings import Settings
-from groundspan.staging import stage_table
+from groundspan.staging import join_checked, stage_table
 
 BLOCK = 1_000
 FIRST = -1  # the passage begins with the block
@@ -116,11 +117,11 @@ def chunk_long(segments: DataFrame, settings: Settings = Settings(), block: int
     """Passages of clean segments (episode_id, episode_title, source_file, id, start, end, text).
 
     Equal to ``chunk_segments`` on the same segments nested in rows. Ids grow along an
-    episode; gaps are allowed.
+    episode; gaps are allowed. Episodes of one block are nested and cut in the JVM.
     """
     rule = PassageRule.of(settings)
     segment = F.struct("id", "start", "end", ends_sentence(F.col("text")).alias("sentence"), "text")
-    packed = stage_table(
+    every = stage_table(
         segments.withColumn("source", F.floor(F.col("id") / block).cast("bigint"))
         .groupBy("episode_id", "source")
         .agg(
@@ -130,6 +131,11 @@ def chunk_long(segments: DataFrame, settings: Settings = Settings(), block: int
         ),
         "long-blocks",
     )
+    several = every.groupBy("episode_id").agg(F.count("*").alias("n_blocks")).where("n_blocks > 1")
+    several = stage_table(several, "long-episodes")
+    marked = stage_table(join_checked(every, several, "episode_id", "left", salt_by="source"), "long-marked")
+    packed = marked.where("n_blocks is not null").drop("n_blocks")
+    single = marked.where("n_blocks is null").drop("source", "n_blocks")  # a row each
     edges = packed.select(
         "episode_id", "source", F.array_max(F.transform("segments", lambda s: s["start"])).alias("latest"),
         F.element_at("segments", -1)["end"].alias("last_end"),
@@ -176,4 +182,5 @@ def chunk_long(segments: DataFrame, settings: Settings = Settings(), block: int
             )
         return pd.DataFrame(out, columns=[c.split()[0] for c in schemas.CHUNK.split(", ")])
 
-    return blocks.join(entry, ["episode_id", "block"]).groupBy("episode_id", "block").applyInPandas(passages, schemas.CHUNK)
+    long = blocks.join(entry, ["episode_id", "block"]).groupBy("episode_id", "block").applyInPandas(passages, schemas.CHUNK)
+    return long.unionByName(chunk_segments(single, settings))

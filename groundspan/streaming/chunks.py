@@ -110,7 +110,8 @@ def _passages(settings: Settings, idle_ms: int):
         state.update((episode.dump(),))
         state.setTimeoutTimestamp(max(episode.latest + idle_ms, state.getCurrentWatermarkMs() + 1))
         names = [c.split()[0] for c in schemas.CHUNK.split(", ")]
-        yield pd.DataFrame(rows, columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 

@@ -5,6 +5,7 @@ only.
 """
 
 from groundspan.functions import fixed_values as fv
+from groundspan.functions.text import _WHITESPACE
 
 _STOP = ", ".join(f"'{w}'" for w in fv.STOPWORDS)
 _PRICES = ", ".join(f"('{m}', {i}, {o})" for m, (i, o) in fv.PRICES.items())
@@ -57,6 +58,50 @@ turns AS (
 )"""
 
 
+# documents as clean segments and passages, as in fixtures.transcripts and operators.segments
+_CHUNKS = r"""parts AS (
+  SELECT doc_id, source, length(text) AS size, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS id FROM documents
+), raw AS (
+  SELECT doc_id, source, size, id, trim(line, '{ws}') AS text, round(coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 16.0, 3) AS start,
+    round(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY id) / 16.0, 3) AS stop FROM parts
+), seg AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) - 1 AS i, regexp_matches(text, '{sentence}') AS closes
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS k FROM raw WHERE length(text) > 0) WHERE {keep}
+), replay AS (
+  SELECT a.doc_id, a.i, min(b.i) AS j FROM seg a JOIN seg b ON a.doc_id = b.doc_id AND b.i <= a.i AND b.start >= a.stop - 15 GROUP BY ALL
+), fold(doc_id, i, b, eb) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM seg WHERE i = 0
+  UNION ALL
+  SELECT f.doc_id, f.i + 1, CASE WHEN NOT t THEN f.b WHEN j IS NULL THEN f.i + 1 ELSE greatest(j, f.b) END, CASE WHEN t THEN f.b END
+  FROM (SELECT f.*, s.stop - b.start >= 110 OR (s.stop - b.start >= 75 AND s.closes) AS t, r.j
+    FROM fold f JOIN seg s ON s.doc_id = f.doc_id AND s.i = f.i JOIN seg b ON b.doc_id = f.doc_id AND b.i = f.b
+    LEFT JOIN replay r ON r.doc_id = f.doc_id AND r.i = f.i) f
+), closed AS (SELECT doc_id, eb AS b, i - 1 AS e FROM fold WHERE eb IS NOT NULL),
+ended AS (SELECT f.doc_id, f.b, f.i - 1 AS e FROM fold f JOIN (SELECT doc_id, max(i) AS i FROM seg GROUP BY doc_id) m ON m.doc_id = f.doc_id AND f.i = m.i + 1),
+tails AS (
+  SELECT t.doc_id, t.b, t.e FROM ended t JOIN seg s ON s.doc_id = t.doc_id AND s.i = t.e
+  LEFT JOIN (SELECT c.doc_id, max(stop) AS stop FROM closed c JOIN seg USING (doc_id) WHERE seg.i = c.e GROUP BY c.doc_id) c ON c.doc_id = t.doc_id
+  WHERE t.b <= t.e AND (c.stop IS NULL OR s.stop > c.stop + 1.0)
+), bounds AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e, b) - 1 AS n FROM (SELECT * FROM closed UNION ALL SELECT * FROM tails)),
+chunks AS (
+  SELECT p.doc_id || '_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS chunk_id,
+    CAST(p.doc_id AS VARCHAR) AS episode_id, 'Doc ' || p.doc_id AS episode_title, min(start) AS start, max(stop) AS "end",
+    string_agg(text, ' ' ORDER BY i) AS text, any_value(source) || '/' || p.doc_id || '.txt' AS source_file,
+    string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS segment_ids
+  FROM bounds p JOIN seg s ON s.doc_id = p.doc_id AND s.i BETWEEN p.b AND p.e GROUP BY p.doc_id, n
+)"""
+
+
+def _chunks(keep: str = "true") -> str:
+    return _CHUNKS.format(ws=_WHITESPACE, sentence=fv.SENTENCE_END_PATTERN, keep=keep)
+
+
+_CHUNK_IDS = f"WITH RECURSIVE {_chunks()} SELECT chunk_id, episode_id, start, \"end\" FROM chunks"
+_CHUNK_ROWS = f"WITH RECURSIVE {_chunks()} SELECT * FROM chunks"
+_SEGMENTS = f"WITH RECURSIVE {_chunks()} SELECT CAST(doc_id AS VARCHAR) AS episode_id, CAST(id AS INTEGER) AS id, start, stop AS \"end\", text FROM seg"
+
+
 def _manifest() -> str:
     from workload.fixtures import SETTINGS
 
@@ -107,4 +152,25 @@ SELECT e.event_id, array_to_string(['K', k.t, 'api_key'], ',') AS keys,
   array_to_string([json_extract_string(props, '$.k'), '<redacted>', '<redacted>'], '|') AS vals FROM events e JOIN k USING (event_id)""",
     "stream_latency": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS stage, count(*) AS n, max(value) AS max_ms, "
     "round(sum(value), 4) AS sum_ms FROM events GROUP BY ALL",
+    "clean_segments": _SEGMENTS,
+    "read_transcript_files": _SEGMENTS,
+    "chunk_passages": _CHUNK_ROWS,
+    "long_passages": _CHUNK_ROWS,
+    "stream_chunks": _CHUNK_ROWS,
+    "chunk_store_roundtrip": _CHUNK_IDS,
+    "stream_ingest": f"WITH RECURSIVE {_chunks('size % 5 <> 2 AND (size % 5 <> 1 OR k > 1)')} "
+    'SELECT chunk_id, episode_id, start, "end", text FROM chunks',
+    "transcript_texts": f"WITH RECURSIVE {_chunks()} SELECT CAST(d.doc_id AS VARCHAR) AS episode_id, "
+    "md5(coalesce(string_agg(s.text, ' ' ORDER BY s.i), '')) AS text_md5 FROM documents d LEFT JOIN seg s ON s.doc_id = d.doc_id GROUP BY d.doc_id",
+    "per_episode_stats": f"WITH RECURSIVE {_chunks()}, c AS (SELECT episode_id, count(*) AS n, round(avg(\"end\" - start), 1) AS m FROM chunks GROUP BY ALL), "
+    "g AS (SELECT CAST(doc_id AS VARCHAR) AS episode_id, count(*) AS n FROM seg GROUP BY doc_id) "
+    "SELECT CAST(doc_id AS VARCHAR) AS episode_id, coalesce(g.n, 0) AS num_segments, coalesce(c.n, 0) AS num_chunks, "
+    "coalesce(c.m, 0.0) AS mean_chunk_seconds FROM documents LEFT JOIN g ON g.episode_id = CAST(doc_id AS VARCHAR) "
+    "LEFT JOIN c ON c.episode_id = CAST(doc_id AS VARCHAR)",
+    "episode_catalogue": f"WITH RECURSIVE {_chunks()}, c AS (SELECT episode_id, count(*) AS n FROM chunks GROUP BY ALL), "
+    "g AS (SELECT CAST(doc_id AS VARCHAR) AS episode_id, count(*) AS n FROM seg GROUP BY doc_id) "
+    "SELECT CAST(doc_id AS VARCHAR) AS episode_id, 'Doc ' || doc_id AS title, source || '/' || doc_id || '.txt' AS source_file, "
+    "length(text) / 16.0 AS duration, sha256(text) AS sha256, CAST(coalesce(g.n, 0) AS INTEGER) AS num_segments, "
+    "CAST(coalesce(c.n, 0) AS INTEGER) AS num_chunks FROM documents LEFT JOIN g ON g.episode_id = CAST(doc_id AS VARCHAR) "
+    "LEFT JOIN c ON c.episode_id = CAST(doc_id AS VARCHAR)",
 }

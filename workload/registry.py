@@ -36,6 +36,7 @@ from groundspan.operators import runs, sessions
 from groundspan.operators.dense import dense_topk, embed_column, hashing_embedder
 from groundspan.operators.fusion import balanced_topk, rrf, rrf_fuse
 from groundspan.operators.lexical import bm25_topk
+from groundspan.operators.long_episodes import chunk_long
 from groundspan.operators.rerank import below_evidence, calibrate_gate, probe_scores
 from groundspan.operators.segments import (
     chunk_segments,
@@ -113,6 +114,15 @@ def chunk_passages(spark, sf):
     )
 
 
+@query
+def long_passages(spark, sf):
+    """The same passages from flat segments, in blocks of a hundred side by side."""
+    flat = fx.transcripts(spark, sf).select("episode_id", "episode_title", "source_file", F.explode("segments").alias("s")).select(
+        "episode_id", "episode_title", "source_file", "s.id", "s.start", "s.end", "s.text"
+    )
+    return chunk_long(flat, fx.SETTINGS, block=100).withColumn("segment_ids", joined("segment_ids"))
+
+
 @query
 def per_episode_stats(spark, sf):
     return episode_stats(fx.transcripts(spark, sf), fx.search_index(spark, sf).passages)
@@ -148,9 +158,7 @@ def read_transcript_files(spark, sf):
 @query
 def chunk_store_roundtrip(spark, sf):
     path = stage_path(spark, "chunk-store")
-    chunk_store.write_chunks(
-        chunk_segments(fx.transcripts(spark, sf), fx.SETTINGS), path, buckets=8
-    )
+    chunk_store.write_chunks(chunk_segments(fx.transcripts(spark, sf), fx.SETTINGS), path)
     return chunk_store.read_chunks(spark, path).select("chunk_id", "episode_id", "start", "end")
 
 
@@ -955,14 +963,44 @@ def stream_latency(spark, sf):
     )
 
 
+def _raw_segments(spark, sf):
+    raw = fx.raw_transcripts(spark, sf).select(
+        "episode_id", "episode_title", "source_file", F.posexplode("segments").alias("id", "s"), F.size("segments").alias("n")
+    )
+    arrived = F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id % 60)")
+    return raw.select(
+        "episode_id", "episode_title", "source_file", "id", "s.start", "s.end", "s.text",
+        (F.col("id") == F.col("n") - 1).alias("last"), arrived.alias("arrived"),
+    )
+
+
+@query
+def stream_chunks(spark, sf):
+    """Raw segments out of order as a stream of several batches, cut into passages."""
+    from groundspan.streaming.chunks import chunk_stream, write_chunk_stream
+
+    source, store = stage_path(spark, "incoming-segments"), stage_path(spark, "streamed-passages")
+    segments = _raw_segments(spark, sf)
+    segments.withColumn("part", F.pmod(F.xxhash64("episode_id", "id"), F.lit(4))).write.partitionBy("part").parquet(source)
+    files = len(spark.read.parquet(source).inputFiles())
+    stream = spark.readStream.schema(segments.schema).option("maxFilesPerTrigger", max(1, files // 4)).parquet(source)
+    write_chunk_stream(chunk_stream(stream, fx.SETTINGS), store, stage_path(spark, "segments-checkpoint"))
+    return spark.read.parquet(store).withColumn("segment_ids", joined("segment_ids"))
+
+
 @query
 def stream_ingest(spark, sf):
-    """Transcripts taken in as a stream, twice: the second run changes nothing."""
+    """Two runs of the ingest stream: by the length of its text a document is new in the
+    second, has lost its first segment, is gone, comes again unchanged, or stays away."""
     from groundspan.streaming.ingest import ingest_stream
 
-    source, store = stage_path(spark, "incoming"), stage_path(spark, "ingested")
-    fx.transcripts(spark, sf).write.parquet(source)
-    for _ in range(2):
-        rows = spark.readStream.schema(fx.transcripts(spark, sf).schema).parquet(source)
-        ingest_stream(rows, store)
-    return spark.read.parquet(store).select("episode_id", "source_sha256", F.size("segments").alias("n_segments"))
+    source, root = stage_path(spark, "incoming"), stage_path(spark, "ingested")
+    kind = F.pmod((F.col("duration") * fx.CHARS_PER_SECOND).cast("bigint"), F.lit(5))
+    every = fx.transcripts(spark, sf).withColumn("arrived", F.lit(1))
+    changed = F.when(kind == 2, F.lit(None)).when(kind == 1, F.slice("segments", 2, 1_000_000_000)).otherwise(F.col("segments"))
+    sha = F.when(kind == 1, F.sha2(F.concat("source_sha256", F.lit("-cut")), 256)).otherwise(F.col("source_sha256"))
+    later = every.where(kind < 4).withColumns({"segments": changed, "source_sha256": sha, "arrived": F.lit(2)})
+    for rows in (every.where(kind > 0), later):
+        rows.write.mode("append").parquet(source)
+        ingest_stream(spark.readStream.schema(every.schema).parquet(source), root, fx.SETTINGS)
+    return chunk_store.read_chunks(spark, f"{root}/chunks").select("chunk_id", "episode_id", "start", "end", "text")
