@@ -102,6 +102,106 @@ _CHUNK_ROWS = f"WITH RECURSIVE {_chunks()} SELECT * FROM chunks"
 _SEGMENTS = f"WITH RECURSIVE {_chunks()} SELECT CAST(doc_id AS VARCHAR) AS episode_id, CAST(id AS INTEGER) AS id, start, stop AS \"end\", text FROM seg"
 
 
+# benchmark texts as messages, as in fixtures.messages
+_MESSAGES = """
+messages AS (
+  SELECT 'case_' || item_id AS id, item_id, text, CASE length(text) % 4 WHEN 1 THEN 'Compare ' || text
+    WHEN 2 THEN 'Take me to the part where they explain ' || text WHEN 3 THEN 'Explain ' || text || ' simply.' ELSE text END AS message
+  FROM benchmark
+)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _tokens(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({text}), {_quoted(fv.TOKEN_PATTERN)}), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))"
+
+
+# passages, their postings and term statistics, as in operators.lexical
+_POSTINGS = f"""{_chunks()}, worded AS (
+  SELECT chunk_id, episode_id, CASE WHEN len(w) = 0 THEN ['{fv.EMPTY_DOCUMENT_TOKEN}'] ELSE w END AS w
+  FROM (SELECT chunk_id, episode_id, {_tokens('text')} AS w FROM chunks)
+), postings AS (
+  SELECT chunk_id, episode_id, dl, term, count(*) AS tf
+  FROM (SELECT chunk_id, episode_id, len(w) AS dl, unnest(w) AS term FROM worded) GROUP BY ALL
+), facts AS (SELECT count(*) AS n, avg(len(w)) AS mean_length FROM worded),
+counted AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings, facts GROUP BY term),
+stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM counted) ELSE raw END AS idf FROM counted)"""
+
+_ASKED = f"""{_MESSAGES}, asked AS (
+  SELECT id AS query_id, term, count(*) AS qtf FROM (SELECT id, unnest({_tokens('message')}) AS term FROM messages) GROUP BY ALL
+)"""
+
+_BM25 = f"""{_POSTINGS}, {_ASKED}, lexical AS (
+  SELECT query_id, chunk_id, bm25_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS INTEGER) AS bm25_rank
+  FROM (SELECT query_id, chunk_id, round(sum(idf * qtf * 2.5 * (tf / (tf + 1.5 * (0.25 + 0.75 * dl / mean_length)))), 4) AS bm25_score,
+      sum(idf * qtf * 2.5 * (tf / (tf + 1.5 * (0.25 + 0.75 * dl / mean_length)))) AS raw
+    FROM asked JOIN stats USING (term) JOIN postings USING (term), facts GROUP BY query_id, chunk_id) WHERE raw > 0
+  QUALIFY bm25_rank <= 20
+)"""
+
+
+def _vectors(name: str, rows: str) -> str:
+    """(id, slot, v) of hashed tokens; the slot is the md5's first four digits modulo 64, the fifth gives the sign."""
+    return f"""{name}_sums AS (
+  SELECT id, slot, CAST(sum(sign) AS DOUBLE) AS s FROM (
+    SELECT id, ((strpos('0123456789abcdef', h[3]) - 1) % 4) * 16 + strpos('0123456789abcdef', h[4]) - 1 AS slot,
+      CASE WHEN strpos('01234567', h[5]) > 0 THEN 1 ELSE -1 END AS sign
+    FROM (SELECT id, md5(unnest(w)) AS h FROM ({rows}))) GROUP BY ALL
+), {name} AS (
+  SELECT id, slot, CAST(CAST(s / sqrt(n) AS FLOAT) AS DOUBLE) AS v FROM {name}_sums JOIN (SELECT id, sum(s * s) AS n FROM {name}_sums GROUP BY id) USING (id) WHERE n > 0
+)"""
+
+
+_DENSE = f"""{_vectors('pv', f"SELECT chunk_id AS id, {_tokens('text')} AS w FROM chunks")},
+{_vectors('qv', f"SELECT id, {_tokens('message')} AS w FROM messages")}, dense AS (
+  SELECT query_id, chunk_id, dense_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS INTEGER) AS dense_rank
+  FROM (SELECT m.id AS query_id, c.chunk_id, round(coalesce(s, 0), 4) AS dense_score FROM messages m CROSS JOIN chunks c
+    LEFT JOIN (SELECT q.id AS query_id, p.id AS chunk_id, sum(q.v * p.v) AS s FROM qv q JOIN pv p USING (slot) GROUP BY ALL) d
+      ON d.query_id = m.id AND d.chunk_id = c.chunk_id)
+  QUALIFY dense_rank <= 20
+)"""
+
+_HISTORY = f"""{_TURNS}, past AS (
+  SELECT t.conv_id, t.turn, t.question, p.turn AS past_turn, p.question AS q, p.answer AS a, row_number() OVER (PARTITION BY t.conv_id, t.turn ORDER BY p.turn DESC) AS back
+  FROM turns t LEFT JOIN turns p ON p.conv_id = t.conv_id AND p.turn < t.turn
+), said AS (
+  SELECT conv_id, turn, back, past_turn * 2 AS place, 'user' AS role, q AS content FROM past WHERE past_turn IS NOT NULL
+  UNION ALL SELECT conv_id, turn, back, past_turn * 2 + 1, 'assistant', a FROM past WHERE past_turn IS NOT NULL
+)"""
+
+
+def _words(pattern: str, text: str) -> str:
+    return f"regexp_matches({text}, {_quoted('(?i)(?:^|[^0-9_' + chr(92) + 'p{L}])(?:' + pattern + ')(?:$|[^0-9_' + chr(92) + 'p{L}])')})"
+
+
+def _stamp(x: str) -> str:
+    """H:MM:SS or M:SS of seconds, cut to whole ones and not under zero."""
+    t = f"CAST(greatest(floor({x}), 0) AS BIGINT)"
+    two = lambda v: f"lpad(CAST({v} AS VARCHAR), 2, '0')"
+    return (
+        f"CASE WHEN {t} >= 3600 THEN CAST({t} // 3600 AS VARCHAR) || ':' || {two(f'{t} % 3600 // 60')} || ':' || {two(f'{t} % 60')} "
+        f"ELSE CAST({t} // 60 AS VARCHAR) || ':' || {two(f'{t} % 60')} END"
+    )
+
+
+def _normal(x: str) -> str:
+    bare = f"regexp_replace({x}, {_quoted('(?i)' + fv.REQUEST_PREFIX_PATTERN)}, '')"
+    bare = f"trim(regexp_replace({bare}, {_quoted('(?i)' + fv.REGISTER_SUFFIX_PATTERN)}, ''), ' ,')"
+    return f"CASE WHEN length({bare}) < 2 THEN trim({x}, {_quoted(_WHITESPACE)}) ELSE {bare} END"
+
+
+def _mode(x: str) -> str:
+    return f"CASE WHEN {_words(fv.LOCATE_WORDS, x)} THEN 'locate' WHEN {_words(fv.COMPARE_WORDS, x)} THEN 'compare' ELSE 'default' END"
+
+
+def _dependent(x: str) -> str:
+    bare = f"trim({x}, {_quoted(_WHITESPACE)})"
+    return f"(length({bare}) = 0 OR len(regexp_split_to_array({bare}, {_quoted(chr(92) + 's+')})) <= 4 OR {_words(fv.CONTEXT_WORDS, x)})"
+
+
 def _manifest() -> str:
     from workload.fixtures import SETTINGS
 
@@ -173,4 +273,30 @@ SELECT e.event_id, array_to_string(['K', k.t, 'api_key'], ',') AS keys,
     "length(text) / 16.0 AS duration, sha256(text) AS sha256, CAST(coalesce(g.n, 0) AS INTEGER) AS num_segments, "
     "CAST(coalesce(c.n, 0) AS INTEGER) AS num_chunks FROM documents LEFT JOIN g ON g.episode_id = CAST(doc_id AS VARCHAR) "
     "LEFT JOIN c ON c.episode_id = CAST(doc_id AS VARCHAR)",
+    "bm25_stats": f"WITH RECURSIVE {_POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM stats",
+    "bm25_top": f"WITH RECURSIVE {_BM25} SELECT * FROM lexical",
+    "bm25_top_blocks": f"WITH RECURSIVE {_BM25} SELECT * FROM lexical",
+    "embed_passages": f"WITH RECURSIVE {_POSTINGS}, {_ASKED}, {_DENSE} SELECT chunk_id, CAST(r.slot AS INTEGER) AS slot, round(coalesce(v, 0), 5) AS v "
+    "FROM chunks CROSS JOIN (SELECT unnest(range(0, 64)) AS slot) r LEFT JOIN pv ON pv.id = chunk_id AND pv.slot = r.slot",
+    "dense_top": f"WITH RECURSIVE {_POSTINGS}, {_ASKED}, {_DENSE} SELECT * FROM dense",
+    "rrf_scores": f"WITH RECURSIVE {_BM25}, {_DENSE} SELECT query_id, chunk_id AS item_id, round(sum(1.0 / (60 + r)), 8) AS score "
+    "FROM (SELECT query_id, chunk_id, bm25_rank AS r FROM lexical UNION ALL SELECT query_id, chunk_id, dense_rank FROM dense) GROUP BY ALL",
+    "rrf_fused": f"WITH RECURSIVE {_BM25}, {_DENSE} SELECT * EXCLUDE (raw), CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, dense_rank NULLS LAST, "
+    "bm25_rank NULLS LAST, chunk_id) AS INTEGER) AS fused_rank, round(raw, 8) AS score FROM (SELECT coalesce(d.query_id, l.query_id) AS query_id, "
+    "coalesce(d.chunk_id, l.chunk_id) AS chunk_id, dense_rank, dense_score, bm25_rank, bm25_score, "
+    "coalesce(1.0 / (60 + dense_rank), 0.0) + coalesce(1.0 / (60 + bm25_rank), 0.0) AS raw "
+    "FROM dense d FULL JOIN lexical l ON l.query_id = d.query_id AND l.chunk_id = d.chunk_id)",
+    "normalized_queries": f"WITH {_MESSAGES} SELECT id, {_normal('message')} AS topic FROM messages",
+    "message_modes": f"WITH {_MESSAGES}, b AS (SELECT id, message AS m FROM messages UNION ALL SELECT conv_id || ':' || turn, text FROM conversations) "
+    f"SELECT id, {_mode('m')} AS mode, {_dependent('m')} AS context_dependent FROM b",
+    "turn_history": f"WITH {_HISTORY} SELECT t.conv_id, t.turn, count(s.role) AS n_messages, md5(coalesce(string_agg(CASE WHEN s.role IS NOT NULL "
+    "THEN s.role || coalesce('=' || s.content, '') END, chr(10) ORDER BY s.place), '')) AS history_md5, count(s.role) > 0 AS is_followup "
+    "FROM turns t LEFT JOIN said s ON s.conv_id = t.conv_id AND s.turn = t.turn AND s.back <= 4 GROUP BY ALL",
+    "outline": f"WITH RECURSIVE {_chunks()} SELECT episode_id, episode_title AS title, chunk_id, start, \"end\", "
+    f"{_stamp('start')} || '{fv.EN_DASH}' || {_stamp(chr(34) + 'end' + chr(34))} AS timestamp, substr(text, 1, 200) AS preview FROM chunks",
+    "dense_top_vectors": """WITH x AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings),
+m AS (SELECT label, i, CAST(CAST(round(avg(CAST(x AS DOUBLE)), 6) AS FLOAT) AS DOUBLE) AS v FROM x GROUP BY ALL),
+s AS (SELECT 'label_' || m.label AS query_id, CAST(x.vec_id AS VARCHAR) AS chunk_id, round(sum(m.v * CAST(x.x AS DOUBLE)), 4) AS dense_score
+  FROM m JOIN x ON x.i = m.i GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS INTEGER) AS dense_rank FROM s QUALIFY dense_rank <= 20""",
 }

@@ -33,6 +33,7 @@ from groundspan.operators import evaluation as ev
 from groundspan.operators import ingest as ing
 from groundspan.operators import model_hooks as hooks
 from groundspan.operators import runs, sessions
+from groundspan.operators.block_max import bm25_topk_blocks, build_blocks
 from groundspan.operators.dense import dense_topk, embed_column, hashing_embedder
 from groundspan.operators.fusion import balanced_topk, rrf, rrf_fuse
 from groundspan.operators.lexical import bm25_topk
@@ -316,6 +317,24 @@ def bm25_top(spark, sf):
     return bm25_topk(fx.questions(spark, sf), ix.passages, ix.stats, ix.facts, 20, fx.SETTINGS)
 
 
+def _block_search(spark, sf):
+    ix = fx.search_index(spark, sf)
+    blocks = fx.remember(spark, sf, "blocks", lambda: build_blocks(ix.passages, ix.facts, fx.SETTINGS))
+    return bm25_topk_blocks(fx.questions(spark, sf), blocks, ix.stats, 20, fx.SETTINGS)
+
+
+@query
+def bm25_top_blocks(spark, sf):
+    """The same ranking without scoring passages that cannot get in."""
+    return _block_search(spark, sf)[0]
+
+
+@query
+def bm25_blocks_scored(spark, sf):
+    """Blocks that hold a question's words, and how many of them were scored."""
+    return _block_search(spark, sf)[1]
+
+
 @query
 def scoped_search(spark, sf):
     """BM25 with the scope applied before ranking (exact)."""
