@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundspan.functions.text import contains_term, strip_ws
+from groundspan.operators.quantiles import exact_quantiles
 from groundspan.schemas import JUDGE_DIMENSIONS
 
 
@@ -367,12 +370,14 @@ def stage_latency(timings: DataFrame, *keys: str) -> DataFrame:
     ``timings`` has one row per (turn, stage, ms); maps are exploded first with
     ``explode_timings``.
     """
-    return timings.groupBy("stage", *keys).agg(
-        F.count("*").alias("n"),
-        F.round(F.avg("ms"), 3).alias("mean_ms"),
-        F.max("ms").alias("max_ms"),
-        F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95_ms"),
+    by = ["stage", *keys]
+    told = timings.groupBy(*by).agg(
+        F.count("*").alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.max("ms").alias("max_ms")
     )
+    p95 = exact_quantiles(timings, by, "ms", 0.95, "p95_ms").withColumn("p95_ms", F.round("p95_ms", 6))
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"p.{k}")) for k in by]
+    joined = told.alias("t").join(p95.alias("p"), reduce(lambda x, y: x & y, same), "left")
+    return joined.select(*[f"t.{k}" for k in by], "n", "mean_ms", "max_ms", "p95_ms")
 
 
 def explode_timings(turns: DataFrame, column: str = "timings") -> DataFrame:

@@ -8,9 +8,9 @@ from groundspan.functions import fixed_values as fv
 
 
 def latest_records(records: DataFrame) -> DataFrame:
-    """Last record of each (run, case) by its line number."""
-    newest = records.groupBy("run_label", "id").agg(F.max("line").alias("line"))
-    return records.join(newest, ["run_label", "id", "line"], "left_semi")
+    """Last record of each (run, case) by its ``line``, which may be a struct."""
+    whole = F.max_by(F.struct(*records.columns), F.col("line")).alias("r")
+    return records.groupBy("run_label", "id").agg(whole).select("r.*")
 
 
 def _format(value: Column, kind: str, signed: bool) -> Column:

@@ -22,6 +22,7 @@ from groundspan.operators.rerank import Scorer
 from groundspan.plans.index import SearchIndex
 from groundspan.plans.search import SearchResult, hybrid_search
 from groundspan.settings import Settings
+from groundspan.sources.replies import complete_once
 from groundspan.staging import stage_table
 
 
@@ -124,12 +125,14 @@ def ask(
     embedder: Embedder | None = None,
     scorer: Scorer | None = None,
     mode: str | None = None,
+    ledger: str | None = None,
 ) -> AskResult:
     """Answer every message. Without a completer the turn stops at the gate and
     open questions get an empty answer; the columns are the same.
 
     ``messages``: (query_id string, message, rewritten, scope, history). Refused
-    questions are filtered out before the model stage, so they cost no call.
+    questions are filtered out before the model stage, so they cost no call; with a
+    ``ledger`` (a folder) what was answered before costs none either.
     """
     settings = settings or index.settings
     questions = plan_questions(messages, mode)
@@ -170,7 +173,8 @@ def ask(
         requests = compose_prompts(open_questions, search.hits, prompts, settings).select(
             F.col("query_id").alias("request_id"), F.lit(prompts.system).alias("system"), "messages"
         )
-        replies = stage_table(batch_complete(requests, completer), "replies")
+        called = complete_once(requests, completer, ledger) if ledger else batch_complete(requests, completer)
+        replies = stage_table(called, "replies")
     done, citations, sources = finish_answers(
         replies.select(
             F.col("request_id").alias("answer_id"), F.coalesce("text", F.lit("")).alias("raw_answer")

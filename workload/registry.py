@@ -47,6 +47,7 @@ from groundspan.operators.segments import (
 )
 from groundspan.plans.ask import Prompts, ask
 from groundspan.plans.evaluate import evaluate_answers, evaluate_retrieval
+from groundspan.plans.rewrite import rewrite_turns
 from groundspan.plans.search import candidate_lists, episodes_in_result
 from groundspan.sources import chunk_store, results
 from groundspan.sources.transcripts import read_transcripts, render_transcript, write_transcripts
@@ -708,6 +709,48 @@ def answer(spark, sf):
     )
 
 
+def scripted_rewriter(requests):
+    """Stands in for a model: the last words of the learner's first line and the message."""
+    replies = []
+    for request in requests:
+        content = request["messages"][-1]["content"]
+        said = re.search(r"Learner: (.*)", content)
+        asked = content.split("FOLLOW-UP MESSAGE: ", 1)[1].rsplit("\n\nStandalone", 1)[0]
+        words = (said[1].split()[:4] if said else []) + asked.split()[:12]
+        replies.append({"text": " ".join(words), "model": "gpt-4o-mini", "input_tokens": len(content), "output_tokens": len(words)})
+    return replies
+
+
+def _rewritten_turns(spark, sf):
+    def make():
+        turns = fx.turns(spark, sf).withColumn("query_id", F.concat_ws(":", "conv_id", "turn"))
+        ledger = stage_path(spark, "rewrite-ledger")
+        for _ in range(2):  # the second run finds every reply in the ledger
+            done = rewrite_turns(turns, scripted_rewriter, "Rewrite the message.", fx.SETTINGS, ledger)
+        return stage_table(done, "rewritten-turns")
+
+    return fx.remember(spark, sf, "rewritten", make)
+
+
+@query
+def rewritten_turns(spark, sf):
+    """Follow-ups that refer back, rewritten by the model through a ledger of replies."""
+    return _rewritten_turns(spark, sf).select("query_id", "question", "rewritten", F.size("history").cast("bigint").alias("n_messages"))
+
+
+@query
+def answer_turns(spark, sf):
+    """Every turn of every conversation: rewrite, search, answer and checked citations."""
+    asked = _rewritten_turns(spark, sf).select(
+        "query_id", F.col("question").alias("message"), "rewritten", F.lit(None).cast("string").alias("scope"), "history"
+    )
+    prompts = Prompts("Answer from the passages.", "compare them", "locate it")
+    done = ask(
+        asked, fx.search_index(spark, sf), fx.episodes(spark, sf), scripted_answer, prompts, ledger=stage_path(spark, "answer-ledger")
+    )
+    return done.answers.select("answer_id", "query", "not_covered", "answer", "num_citations", "num_invalid", "model", "error")
+
+
 # --- evaluation -------------------------------------------------------------
 @query
 def validated_cases(spark, sf):
