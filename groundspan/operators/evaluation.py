@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from groundspan.functions import fixed_values as fv
 from groundspan.functions.text import contains_term, strip_ws
 from groundspan.operators.quantiles import exact_quantiles
 from groundspan.schemas import JUDGE_DIMENSIONS
@@ -276,10 +277,9 @@ def _mean_where(value: Column, condition: Column, dp: int) -> Column:
     return F.round(F.coalesce(F.avg(F.when(condition, value.cast("double"))), F.lit(0.0)), dp)
 
 
-def run_summary(results: DataFrame, *keys: str) -> DataFrame:
-    """All run metrics in a single aggregation, over everything or per key."""
+def _run_metrics() -> list[Column]:
     scored, refusal = F.col("scored"), F.col("refusal")
-    metrics = [
+    return [
         F.count("*").alias("num_cases"),
         F.count_if("passed").alias("passed"),
         _mean_where(F.col("passed"), F.lit(True), 4).alias("pass_rate"),
@@ -291,20 +291,48 @@ def run_summary(results: DataFrame, *keys: str) -> DataFrame:
         _mean_where(F.col("passed"), scored & refusal, 4).alias("refusal_accuracy"),
         F.count_if(scored & ~refusal & F.col("not_covered")).alias("false_refusals"),
     ]
-    return results.groupBy(*keys).agg(*metrics) if keys else results.agg(*metrics)
+
+
+def run_summary(results: DataFrame, *keys: str) -> DataFrame:
+    """The retrieval and refusal metrics of a run, over everything or per key."""
+    return results.groupBy(*keys).agg(*_run_metrics()) if keys else results.agg(*_run_metrics())
+
+
+def run_report(results: DataFrame) -> DataFrame:
+    """One row with every metric of a run, in a single aggregation.
+
+    Metrics whose columns the run does not have (a run without answers, a judge or
+    costs) are NULL.
+    """
+    groups = [
+        (set(), _run_metrics()),
+        ({"citation_validity", "num_citations", "num_invalid"}, _citation_metrics()),
+        ({"no_forbidden_claims", "num_unsupported"}, _hallucination_metrics()),
+        ({"faithfulness", "judge_passed"}, _judge_metrics()),
+        ({"latency_ms", "cost_usd"}, _cost_metrics()),
+    ]
+    there = set(results.columns)
+    known = [m for needs, metrics in groups if needs <= there for m in metrics]
+    report = results.agg(*known)
+    missing = [name for name, _, _ in fv.COMPARED_METRICS if name not in report.columns]
+    return report.withColumns({name: F.lit(None).cast("double") for name in missing})
 
 
 def refusal_metrics(results: DataFrame) -> DataFrame:
     return run_summary(results).select("num_refusal_cases", "refusal_accuracy", "false_refusals")
 
 
-def latency_and_cost(results: DataFrame) -> DataFrame:
-    """Mean and maximum latency of answered cases and the total spend."""
-    return results.agg(
+def _cost_metrics() -> list[Column]:
+    return [
         F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 1).alias("mean_ms"),
         F.round(F.coalesce(F.max("latency_ms"), F.lit(0.0)), 1).alias("max_ms"),
         F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("estimated_usd"),
-    )
+    ]
+
+
+def latency_and_cost(results: DataFrame) -> DataFrame:
+    """Mean and maximum latency of answered cases and the total spend."""
+    return results.agg(*_cost_metrics())
 
 
 def by_category(results: DataFrame) -> DataFrame:
@@ -326,9 +354,9 @@ def category_cases(results: DataFrame) -> DataFrame:
     )
 
 
-def citation_metrics(results: DataFrame) -> DataFrame:
+def _citation_metrics() -> list[Column]:
     scored = F.col("scored")
-    return results.agg(
+    return [
         _mean_where(F.coalesce("citation_validity", F.lit(1.0)), scored, 4).alias(
             "mean_citation_validity"
         ),
@@ -336,32 +364,40 @@ def citation_metrics(results: DataFrame) -> DataFrame:
             "total_citations"
         ),
         F.coalesce(F.sum("num_invalid"), F.lit(0)).alias("invalid_citations"),
-    )
+    ]
 
 
-def hallucination_metrics(results: DataFrame) -> DataFrame:
-    return results.agg(
+def citation_metrics(results: DataFrame) -> DataFrame:
+    return results.agg(*_citation_metrics())
+
+
+def _hallucination_metrics() -> list[Column]:
+    return [
         F.count_if(F.col("scored") & ~F.col("no_forbidden_claims")).alias(
             "forbidden_claim_violations"
         ),
         F.coalesce(F.sum("num_unsupported"), F.lit(0)).cast("bigint").alias(
             "judge_unsupported_claims"
         ),
-    )
+    ]
+
+
+def hallucination_metrics(results: DataFrame) -> DataFrame:
+    return results.agg(*_hallucination_metrics())
+
+
+def _judge_metrics() -> list[Column]:
+    readable = F.col("faithfulness").isNotNull()
+    return [
+        F.count_if(readable).alias("num_judged"),
+        _mean_where(F.col("judge_passed"), readable, 4).alias("judge_pass_rate"),
+        *[_mean_where(F.col(name), readable, 3).alias(f"mean_{name}") for name in JUDGE_DIMENSIONS],
+    ]
 
 
 def judge_summary(judged: DataFrame) -> DataFrame:
     """Means of the five grades and the share that passed, over readable verdicts."""
-    return judged.where(F.col("faithfulness").isNotNull()).agg(
-        F.count("*").alias("num_judged"),
-        F.round(F.coalesce(F.avg(F.col("judge_passed").cast("double")), F.lit(0.0)), 4).alias(
-            "judge_pass_rate"
-        ),
-        *[
-            F.round(F.coalesce(F.avg(name), F.lit(0.0)), 3).alias(f"mean_{name}")
-            for name in JUDGE_DIMENSIONS
-        ],
-    )
+    return judged.agg(*_judge_metrics())
 
 
 def stage_latency(timings: DataFrame, *keys: str) -> DataFrame:

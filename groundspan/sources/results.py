@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from groundspan import schemas
 from groundspan.operators.evaluation import normalise_cases, validate_cases
@@ -32,7 +33,7 @@ def write_run(records: DataFrame, summary: DataFrame, root: str, label: str) ->
     summary.coalesce(1).write.mode("overwrite").json(f"{target}/summary")
 
 
-def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """JSON lines with ``line``, which orders them as they stand in their files.
 
     Files come by name. Inside a file it is the place of the split and the order within
@@ -46,7 +47,7 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_run(
-    spark: SparkSession, root: str, label: str, record_schema: str, summary_schema: str
+    spark: SparkSession, root: str, label: str, record_schema: str | StructType, summary_schema: str | StructType
 ) -> tuple[DataFrame, DataFrame]:
     """Records (the last one of each case id) and summary of a named run."""
     target = f"{root}/run_label={label}"

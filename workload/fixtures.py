@@ -222,17 +222,34 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "gold-postings",
     )
+    # of items with two words or fewer after stop words all that is known is that a
+    # contained text's edge words lie inside longer words or are words
+    short = items.join(inner.select("id").distinct(), "id", "left_anti").where("length(text) > 0").select("id", "text")
+    few = stage_table(short, "gold-short")
     counts = found.groupBy("term").agg(F.count("*").alias("df"))
     anchors = inner.join(counts, "term").groupBy("id").agg(
         F.min_by("term", F.struct("df", "term")).alias("term")
     )
     candidates = join_checked(found, anchors, "term", "inner", salt_by="doc_id")
-    return (
+    whole = (
         candidates.join(docs.select("doc_id", F.col("text").alias("body")), "doc_id")
         .join(items.select("id", "text"), "id")
         .where(F.col("body").contains(F.col("text")))
         .select("id", F.col("doc_id").cast("string").alias("episode_id"))
     )
+    # the short items meet the text's stretches of their own length
+    lengths = [r[0] for r in few.select(F.length("text")).distinct().collect()]
+    for n in lengths:
+        stretches = docs.where(F.length("text") >= n).select(
+            "doc_id",
+            F.explode(
+                F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr(F.col("text"), i, F.lit(n))))
+            ).alias("text"),
+        )
+        own = few.where(F.length("text") == n)
+        met = join_checked(stretches, own, "text", "inner", salt_by="doc_id")
+        whole = whole.unionByName(met.select("id", F.col("doc_id").cast("string").alias("episode_id")))
+    return whole
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,6 +294,14 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("item_id") - 1).alias("item_id"),
             F.try_element_at(tokenize(F.col("text")), F.lit(-1)).alias("_claim"),
         )
+        # of the first gold document's first words some get into an answer that cites it
+        opening = gold(spark, sf_dir).groupBy("id").agg(F.min("episode_id").alias("episode_id"))
+        opening = opening.join(
+            documents(spark, sf_dir).select(
+                F.col("doc_id").cast("string").alias("episode_id"), F.slice(tokenize(F.substring("text", 1, 400)), 1, 3).alias("_opening")
+            ),
+            "episode_id",
+        ).drop("episode_id")
         found = gold(spark, sf_dir).groupBy("id").agg(
             F.sort_array(F.collect_list("episode_id")).alias("_gold")
         )
@@ -285,6 +310,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = (
             base.join(following, "item_id", "left")
             .join(found, "id", "left")
+            .join(opening, "id", "left")
             .select(
                 F.col("item_id").alias("index"),
                 F.lit(None).cast("string").alias("id"),
@@ -308,7 +334,10 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(False).alias("clarify_ok"),
                 ).alias("expected"),
                 (~refusal).alias("must_cite"),
-                F.when(F.col("_claim").isNotNull(), F.array("_claim")).alias("forbidden_claims"),
+                # also a word of the question, which never counts as leaked
+                F.array_compact(
+                    F.concat(F.array("_claim", F.get(long_words, F.lit(0))), F.coalesce("_opening", F.expr("cast(array() as array<string>)")))
+                ).alias("forbidden_claims"),
             )
         )
         return stage_table(normalise_cases(raw), "cases")
@@ -316,13 +345,13 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remember(spark, sf_dir, "cases", make)
 
 
-def case_search(spark: SparkSession, sf_dir: str) -> SearchResult:
+def case_search(spark: SparkSession, sf_dir: str, settings: Settings = SETTINGS) -> SearchResult:
     """The search result of all cases, shared by everything downstream of it."""
     return remember(
         spark,
         sf_dir,
-        "case-search",
-        lambda: search_cases(cases(spark, sf_dir), search_index(spark, sf_dir)),
+        f"case-search-{settings}",
+        lambda: search_cases(cases(spark, sf_dir), search_index(spark, sf_dir), settings),
     )
 
 
@@ -338,11 +367,11 @@ def question_search(spark: SparkSession, sf_dir: str) -> SearchResult:
 
 
 # --- answers ----------------------------------------------------------------
-def shown_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return case_search(spark, sf_dir).hits.withColumnRenamed("query_id", "answer_id")
+def shown_passages(spark: SparkSession, sf_dir: str, settings: Settings = SETTINGS) -> DataFrame:
+    return case_search(spark, sf_dir, settings).hits.withColumnRenamed("query_id", "answer_id")
 
 
-def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_answers(spark: SparkSession, sf_dir: str, settings: Settings = SETTINGS) -> DataFrame:
     """An answer per case citing its first three passages.
 
     The length of the message picks what happens to every citation: left
@@ -373,7 +402,7 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
             format_ts(last), F.lit(")."),
         )
 
-    found = case_search(spark, sf_dir)
+    found = case_search(spark, sf_dir, settings)
     claims = F.array_join(F.transform(F.slice("passages", 1, 3), cite), " ")
     refused = F.col("not_covered")
     return (
@@ -392,20 +421,20 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def finished_answers(spark: SparkSession, sf_dir: str):
+def finished_answers(spark: SparkSession, sf_dir: str, settings: Settings = SETTINGS):
     """(answers, citations, sources) of the derived answers."""
 
     def make():
-        shown = shown_passages(spark, sf_dir)
+        shown = shown_passages(spark, sf_dir, settings)
         answers, cited, sources = finish_answers(
-            stage_table(raw_answers(spark, sf_dir), "raw-answers"),
+            stage_table(raw_answers(spark, sf_dir, settings), "raw-answers"),
             shown,
             episodes(spark, sf_dir),
-            SETTINGS,
+            settings,
         )
         return stage_table(answers, "answers"), cited, sources
 
-    return remember(spark, sf_dir, "answers", make)
+    return remember(spark, sf_dir, f"answers-{settings}", make)
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -805,10 +805,10 @@ def retrieval_checks(spark, sf):
     )
 
 
-def _answered(spark, sf) -> DataFrame:
+def _answered(spark, sf, settings=fx.SETTINGS) -> DataFrame:
     def make():
         done = evaluate_answers(
-            fx.cases(spark, sf), fx.case_search(spark, sf), fx.finished_answers(spark, sf)[0],
+            fx.cases(spark, sf), fx.case_search(spark, sf, settings), fx.finished_answers(spark, sf, settings)[0],
             fx.judged(spark, sf),
         )
         cost = F.round(F.length("answer") / 1000.0, 3)
@@ -819,7 +819,7 @@ def _answered(spark, sf) -> DataFrame:
             "answered-outcomes",
         )
 
-    return fx.remember(spark, sf, "answered", make)
+    return fx.remember(spark, sf, f"answered-{settings}", make)
 
 
 @query
@@ -908,8 +908,9 @@ def judge_summary(spark, sf):
 
 @query
 def compare_metrics(spark, sf):
+    """Every compared metric of two answered runs."""
     return runs.compare_metrics(
-        ev.run_summary(baseline_run(spark, sf)), ev.run_summary(improved_run(spark, sf))
+        ev.run_report(_answered(spark, sf, fx.BASELINE)), ev.run_report(_answered(spark, sf))
     ).select(
         "metric", "before", "after", F.round("delta", 6).alias("delta"),
         "before_text", "after_text", "delta_text", "improved",
@@ -928,18 +929,30 @@ def compare_cases(spark, sf):
     return runs.case_movement(baseline_run(spark, sf), improved_run(spark, sf))
 
 
+def _written_run(spark, sf):
+    """A run written as JSON lines and read back: its records and its one-line report."""
+
+    def make():
+        run = _answered(spark, sf)
+        report = ev.run_report(run)
+        root = stage_path(spark, "results")
+        results.write_run(run, report, root, "improved")
+        return results.read_run(spark, root, "improved", run.schema, report.schema)
+
+    return fx.remember(spark, sf, "written-run", make)
+
+
 @query
 def write_results(spark, sf):
-    """A run written as JSON lines and read back."""
-    run = improved_run(spark, sf)
-    summary = ev.run_summary(run)
-    root = stage_path(spark, "results")
-    results.write_run(run, summary, root, "improved")
-    records, _ = results.read_run(
-        spark, root, "improved", "id string, category string, passed boolean",
-        "num_cases bigint, pass_rate double",
-    )
-    return records
+    records = _written_run(spark, sf)[0]
+    lists = {n: joined(n, "; ") for n, kind in records.dtypes if kind.startswith("array")}
+    return records.withColumns(lists)
+
+
+@query
+def run_report(spark, sf):
+    """Every metric of the answered run, as read back."""
+    return _written_run(spark, sf)[1]
 
 
 # --- model hooks, spend, timings --------------------------------------------
