@@ -36,9 +36,9 @@ BOUNDARY = 32
 DISCOUNT = 0.75
 # Counts (one for each class, fold and n-gram) of which a model may be made.
 MODEL_GRAMS = 4_000_000
-HELD_CHARS = 500_000
-CACHED_CELLS = 6_000_000
-SCORED_CELLS = 400_000
+HELD_CHARS = 300_000
+CACHED_CELLS = 4_000_000
+SCORED_CELLS = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 

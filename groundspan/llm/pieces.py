@@ -37,8 +37,8 @@ from groundspan.llm.tables import chunks, clean, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
-CACHED_WORDS = 150_000
-CACHED_PAIRS = 250_000
+CACHED_WORDS = 100_000
+CACHED_PAIRS = 120_000
 
 
 def marked_words(text: str) -> list[str]:

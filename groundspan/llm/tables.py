@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Characters of text that a Python worker handles at once.
-CHUNK_CHARS = 1_000_000
-BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
+CHUNK_CHARS = 500_000
+BATCH_ROWS, BATCH_BYTES = 500, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
