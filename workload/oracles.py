@@ -202,6 +202,115 @@ def _dependent(x: str) -> str:
     return f"(length({bare}) = 0 OR len(regexp_split_to_array({bare}, {_quoted(chr(92) + 's+')})) <= 4 OR {_words(fv.CONTEXT_WORDS, x)})"
 
 
+_PROBES = ", ".join(f"({i}, {_quoted(p)})" for i, p in enumerate(fv.NEGATIVE_PROBES))
+
+# the search cascade with its gate, as in plans.search; the cases ask the same questions
+_SEARCH = f"""{_BM25}, {_DENSE}, fused AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, chunk_id) AS fused_rank,
+    count(dense_rank) OVER (PARTITION BY query_id) AS dense_hits, count(bm25_rank) OVER (PARTITION BY query_id) AS bm25_hits,
+    max(dense_score) OVER (PARTITION BY query_id) AS max_dense
+  FROM (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.chunk_id, l.chunk_id) AS chunk_id, dense_rank, dense_score, bm25_rank, bm25_score,
+      coalesce(1.0 / (60 + dense_rank), 0.0) + coalesce(1.0 / (60 + bm25_rank), 0.0) AS score
+    FROM dense d FULL JOIN lexical l ON l.query_id = d.query_id AND l.chunk_id = d.chunk_id)
+), unseen AS (SELECT ln(n + 0.5) - ln(0.5) AS unseen FROM facts),
+topics AS (
+  SELECT id, t.term, coalesce(idf, unseen) AS idf FROM (SELECT DISTINCT id, unnest(w) AS term FROM (
+    SELECT id, {_tokens('topic')} AS w FROM (SELECT id, {_normal('message')} AS topic FROM messages))) t LEFT JOIN stats USING (term), unseen
+), masses AS (SELECT id, sum(idf) AS mass FROM topics GROUP BY id),
+matched AS (SELECT t.id AS query_id, p.chunk_id, sum(t.idf) AS found FROM topics t JOIN postings p USING (term) GROUP BY ALL),
+pool AS (
+  SELECT f.*, c.episode_id, c.episode_title, c.source_file, c.text, c.start, c."end", CASE WHEN {_words(fv.LOCATE_WORDS, 'message')} THEN 'default'
+      WHEN {_words(fv.COMPARE_WORDS, 'message')} THEN 'compare' ELSE 'default' END AS mode,
+    round(coalesce(found / mass, 0.0), 4) AS rerank_score
+  FROM fused f JOIN chunks c USING (chunk_id) JOIN messages m ON m.id = f.query_id LEFT JOIN masses ON masses.id = f.query_id
+  LEFT JOIN matched ON matched.query_id = f.query_id AND matched.chunk_id = f.chunk_id WHERE fused_rank <= 8
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS pool_rank FROM pool),
+turned AS (
+  SELECT *, row_number() OVER w AS depth, first_value(rerank_score) OVER w AS head, first_value(pool_rank) OVER w AS head_rank
+  FROM ranked WINDOW w AS (PARTITION BY query_id, episode_id ORDER BY pool_rank)
+), hits AS (
+  SELECT * EXCLUDE (depth, head, head_rank), CAST(pool_rank AS INTEGER) AS rank FROM turned WHERE mode <> 'compare' AND pool_rank <= 5
+  UNION ALL
+  SELECT * EXCLUDE (depth, head, head_rank), CAST(row_number() OVER (PARTITION BY query_id ORDER BY depth, head DESC, head_rank) AS INTEGER) AS rank
+  FROM turned WHERE mode = 'compare' QUALIFY rank <= 5
+), probes(probe_id, probe) AS (VALUES {_PROBES}),
+probe_terms AS (
+  SELECT probe_id, t.term, coalesce(idf, unseen) AS idf FROM (SELECT DISTINCT probe_id, unnest({_tokens('probe')}) AS term FROM probes) t LEFT JOIN stats USING (term), unseen
+), probe_best AS (
+  SELECT probe, round(coalesce(best / mass, 0.0), 4) AS best_score FROM probes JOIN (SELECT probe_id, sum(idf) AS mass FROM probe_terms GROUP BY probe_id) USING (probe_id)
+  LEFT JOIN (SELECT probe_id, max(found) AS best FROM (SELECT probe_id, chunk_id, sum(idf) AS found FROM probe_terms JOIN postings USING (term) GROUP BY ALL) GROUP BY probe_id) USING (probe_id)
+), gate AS (SELECT count(*) AS probes, max(best_score) AS not_covered_band_max, round(max(best_score) + 0.1, 4) AS relevance_gate FROM probe_best),
+diagnostics AS (
+  SELECT p.query_id, any_value(mode) AS mode, any_value(dense_hits) AS dense_hits, any_value(bm25_hits) AS bm25_hits, count(*) AS fusion_pool,
+    any_value(max_dense) AS max_dense_similarity, max(rerank_score) AS max_rerank_score, any_value(h.n) AS num_selected, any_value(h.e) AS num_episodes,
+    any_value(h.top) AS top_score, any_value(relevance_gate) AS relevance_gate, max(rerank_score) < any_value(relevance_gate) AS not_covered
+  FROM ranked p JOIN (SELECT query_id, count(*) AS n, count(DISTINCT episode_id) AS e, max(CASE WHEN rank = 1 THEN score END) AS top FROM hits GROUP BY query_id) h USING (query_id), gate
+  GROUP BY p.query_id
+)"""
+
+
+def _contains(hay: str, term: str) -> str:
+    """Whether a word of letters, digits and apostrophes stands in a text by itself."""
+    edge = "[^0-9_" + chr(92) + "p{L}]"
+    return f"regexp_matches(lower({hay}), '(?:^|{edge})' || {term} || '(?:$|{edge})')"
+
+
+# the cases with their gold documents, as in fixtures.cases
+_CASES = f"""gold AS (SELECT m.id, CAST(d.doc_id AS VARCHAR) AS episode_id FROM messages m JOIN documents d ON contains(d.text, m.text) WHERE length(m.text) > 0),
+long_words AS (
+  SELECT id, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM (SELECT id, list_filter({_tokens('text')}, lambda t: length(t) > 3) AS w FROM messages)
+), cases AS (
+  SELECT m.id, m.message, CASE WHEN g.n IS NULL THEN 'refusal' WHEN g.n > 1 THEN 'cross_episode' ELSE 'factual' END AS category,
+    coalesce(g.e, []) AS expected, w[1:3] AS must_retrieve, g.n IS NULL AS refusal
+  FROM messages m JOIN long_words USING (id) LEFT JOIN (SELECT id, count(*) AS n, list(episode_id ORDER BY episode_id) AS e FROM gold GROUP BY id) g USING (id)
+)"""
+
+_METRICS = f"""{_SEARCH}, {_CASES}, contexts AS (
+  SELECT query_id AS id, string_agg(text, ' ' ORDER BY rank) AS context, list(DISTINCT episode_id) AS episodes, count(*) AS n FROM hits GROUP BY query_id
+), metrics AS (
+  SELECT c.*, CASE WHEN len(expected) = 0 THEN 1.0 ELSE len(list_filter(expected, lambda e: list_contains(episodes, e))) / CAST(len(expected) AS DOUBLE) END AS episode_hit,
+    CASE WHEN len(must_retrieve) = 0 THEN 1.0 ELSE (SELECT avg(CASE WHEN {_contains('x.context', 't.term')} THEN 1.0 ELSE 0.0 END)
+      FROM (SELECT unnest(c.must_retrieve) AS term) t) END AS term_coverage,
+    n AS num_retrieved, len(episodes) AS num_episodes_retrieved, d.top_score, d.max_dense_similarity, d.not_covered
+  FROM cases c JOIN contexts x USING (id) JOIN diagnostics d ON d.query_id = c.id
+), checks AS (
+  SELECT *, CASE WHEN refusal THEN not_covered END AS evidence_gate_fired, CASE WHEN NOT refusal THEN episode_hit >= 0.999 END AS retrieved_expected_episode,
+    CASE WHEN NOT refusal THEN term_coverage >= 0.5 END AS term_coverage_ok, CASE WHEN NOT refusal THEN NOT not_covered END AS evidence_gate_open,
+    list_filter([CASE WHEN refusal AND NOT not_covered THEN 'evidence gate did not fire for an out-of-scope question (max similarity ' || printf('%.3f', round(max_dense_similarity, 3)) || ')' END,
+      CASE WHEN NOT refusal AND episode_hit < 0.999 THEN 'missed expected episode(s) (hit ' || CAST(CAST(round_even(episode_hit * 100, 0) AS INTEGER) AS VARCHAR) || '%)' END,
+      CASE WHEN NOT refusal AND term_coverage < 0.5 THEN 'retrieved passages covered only ' || CAST(CAST(round_even(term_coverage * 100, 0) AS INTEGER) AS VARCHAR) || '% of the expected terms' END,
+      CASE WHEN NOT refusal AND not_covered THEN 'evidence gate wrongly refused an answerable question' END], lambda f: f IS NOT NULL) AS failures
+  FROM metrics
+), run AS (
+  SELECT *, coalesce(evidence_gate_fired, true) AND coalesce(retrieved_expected_episode, true) AND coalesce(term_coverage_ok, true)
+    AND coalesce(evidence_gate_open, true) AS passed FROM checks
+)"""
+
+_SUMMARY = """SELECT count(*) AS num_cases, count_if(passed) AS passed, round(avg(CAST(passed AS INTEGER)), 4) AS pass_rate, 0 AS errors,
+  round(coalesce(avg(CASE WHEN NOT refusal THEN episode_hit END), 0.0), 4) AS mean_episode_hit,
+  round(coalesce(avg(CASE WHEN NOT refusal THEN term_coverage END), 0.0), 4) AS mean_term_coverage, round(avg(top_score), 6) AS mean_top_score,
+  count_if(refusal) AS num_refusal_cases, round(coalesce(avg(CASE WHEN refusal THEN CAST(passed AS INTEGER) END), 0.0), 4) AS refusal_accuracy,
+  count_if(NOT refusal AND not_covered) AS false_refusals FROM run"""
+
+_SCOPED = f"""{_POSTINGS}, {_ASKED}, {_CASES}, scopes AS (SELECT id AS query_id, min(episode_id) AS scope FROM gold GROUP BY id),
+scored AS (
+  SELECT a.query_id, chunk_id, any_value(episode_id) AS episode_id, any_value(scope) AS scope,
+    sum(idf * qtf * 2.5 * (tf / (tf + 1.5 * (0.25 + 0.75 * dl / mean_length)))) AS raw
+  FROM asked a LEFT JOIN scopes USING (query_id) JOIN stats USING (term) JOIN postings USING (term), facts GROUP BY a.query_id, chunk_id
+), rounded AS (SELECT *, round(raw, 4) AS bm25_score FROM scored WHERE raw > 0)"""
+_RANK = "SELECT query_id, chunk_id, bm25_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS INTEGER) AS bm25_rank"
+
+_PLANNED = f"""{_HISTORY}, planned AS (
+  SELECT t.conv_id, t.turn, t.question, count(s.role) > 0 AND {_dependent('any_value(t.question)')} AS rewrite,
+    max_by(s.content, s.place) AS last_content, count(s.role) AS n_messages
+  FROM turns t LEFT JOIN said s ON s.conv_id = t.conv_id AND s.turn = t.turn AND s.back <= 8 GROUP BY t.conv_id, t.turn, t.question
+), lines AS (
+  SELECT conv_id, turn, place, CASE role WHEN 'user' THEN 'Learner' ELSE 'Assistant' END || ': ' ||
+    CASE WHEN length(content) > 400 THEN substr(content, 1, 400) || '...' ELSE content END AS line
+  FROM said WHERE back <= 8 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY place DESC) <= 4
+), spoken AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY place) AS spoken FROM lines GROUP BY ALL)"""
+
+
 def _manifest() -> str:
     from workload.fixtures import SETTINGS
 
@@ -299,4 +408,84 @@ m AS (SELECT label, i, CAST(CAST(round(avg(CAST(x AS DOUBLE)), 6) AS FLOAT) AS D
 s AS (SELECT 'label_' || m.label AS query_id, CAST(x.vec_id AS VARCHAR) AS chunk_id, round(sum(m.v * CAST(x.x AS DOUBLE)), 4) AS dense_score
   FROM m JOIN x ON x.i = m.i GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS INTEGER) AS dense_rank FROM s QUALIFY dense_rank <= 20""",
+    "reranked": f"WITH RECURSIVE {_SEARCH} SELECT query_id, chunk_id, CAST(fused_rank AS INTEGER) AS fused_rank, rerank_score, CAST(pool_rank AS INTEGER) AS pool_rank FROM ranked",
+    "hybrid_search": f"WITH RECURSIVE {_SEARCH} SELECT query_id, rank, chunk_id, episode_id, round(score, 6) AS score, dense_rank, bm25_rank, dense_score, bm25_score, rerank_score FROM hits",
+    "query_diagnostics": f"WITH RECURSIVE {_SEARCH} SELECT * EXCLUDE (not_covered) REPLACE (round(top_score, 6) AS top_score) FROM diagnostics",
+    "episodes_found": f"WITH RECURSIVE {_SEARCH}, t AS (SELECT query_id, episode_title, min(rank) AS r FROM hits GROUP BY ALL) "
+    "SELECT h.query_id, string_agg(DISTINCT episode_id, ',' ORDER BY episode_id) AS episode_ids, any_value(e.episodes) AS episodes FROM hits h "
+    "JOIN (SELECT query_id, string_agg(episode_title, '|' ORDER BY r) AS episodes FROM t GROUP BY query_id) e USING (query_id) GROUP BY h.query_id",
+    "gate_calibration": f"WITH RECURSIVE {_SEARCH} SELECT * FROM gate",
+    "probe_best_scores": f"WITH RECURSIVE {_SEARCH} SELECT * FROM probe_best",
+    "evidence_gate": f"WITH RECURSIVE {_SEARCH} SELECT query_id, not_covered AS by_gate, max_dense_similarity < 0.3 AS by_cosine, false AS unknown, true AS no_hits FROM diagnostics",
+    "balanced_top": f"WITH RECURSIVE {_SEARCH}, s AS (SELECT query_id, chunk_id, split_part(source_file, '/', 1) AS episode_id, rerank_score, pool_rank FROM ranked), "
+    "d AS (SELECT *, row_number() OVER w AS depth, first_value(rerank_score) OVER w AS head, first_value(pool_rank) OVER w AS head_rank FROM s "
+    "WINDOW w AS (PARTITION BY query_id, episode_id ORDER BY pool_rank)) SELECT query_id, chunk_id, episode_id, "
+    "CAST(row_number() OVER (PARTITION BY query_id ORDER BY depth, head DESC, head_rank) AS INTEGER) AS rank FROM d QUALIFY rank <= 5",
+    "index_meta": f"WITH RECURSIVE {_SEARCH} SELECT count(*) AS num_chunks, count(DISTINCT episode_id) AS num_episodes, 64 AS embed_dimension, "
+    "(SELECT relevance_gate FROM gate) AS relevance_gate FROM chunks",
+    "contained_terms": f"WITH {_MESSAGES}, {_CASES} SELECT c.id, g.episode_id, t.term, {_contains('d.text', 't.term')} AS found FROM (SELECT id, unnest(must_retrieve) AS term FROM cases) t "
+    "JOIN cases c USING (id) JOIN gold g USING (id) JOIN documents d ON CAST(d.doc_id AS VARCHAR) = g.episode_id",
+    "scoped_search": f"WITH RECURSIVE {_SCOPED} {_RANK} FROM rounded WHERE scope IS NULL OR scope = episode_id QUALIFY bm25_rank <= 20",
+    "scoped_search_post_filter": f"WITH RECURSIVE {_SCOPED}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS place FROM rounded) "
+    f"{_RANK} FROM p WHERE (scope IS NULL AND place <= 20) OR (place <= 60 AND scope = episode_id) QUALIFY bm25_rank <= 20",
+    "episode_hit": f"WITH RECURSIVE {_METRICS} SELECT id, round(episode_hit, 6) AS episode_hit FROM metrics",
+    "retrieval_metrics": f"WITH RECURSIVE {_METRICS} SELECT id, round(episode_hit, 6) AS episode_hit, round(term_coverage, 6) AS term_coverage, num_retrieved, "
+    "num_episodes_retrieved, round(top_score, 6) AS top_score, max_dense_similarity FROM metrics",
+    "retrieval_checks": f"WITH RECURSIVE {_METRICS} SELECT id, evidence_gate_fired, retrieved_expected_episode, term_coverage_ok, evidence_gate_open, "
+    "array_to_string(failures, '; ') AS failures, passed AS checks_passed FROM run",
+    "eval_retrieval": f"WITH RECURSIVE {_METRICS} SELECT id, category, passed, round(episode_hit, 6) AS episode_hit, round(term_coverage, 6) AS term_coverage, not_covered FROM run",
+    "eval_summary": f"WITH RECURSIVE {_METRICS} {_SUMMARY}",
+    "refusal_metrics": f"WITH RECURSIVE {_METRICS} SELECT num_refusal_cases, refusal_accuracy, false_refusals FROM ({_SUMMARY})",
+    "eval_by_category": f"WITH RECURSIVE {_METRICS} SELECT category, count(*) AS total, count_if(passed) AS passed, round(avg(CAST(passed AS INTEGER)), 4) AS pass_rate "
+    "FROM run GROUP BY ROLLUP (category)",
+    "eval_category_cases": f"WITH RECURSIVE {_METRICS} SELECT category, id, passed, array_to_string(failures, '; ') AS failures FROM run",
+    "rewrite_plan": f"WITH {_PLANNED} SELECT conv_id, turn, rewrite, CASE WHEN rewrite AND length(o) BETWEEN 1 AND 300 THEN o ELSE question END AS query "
+    "FROM (SELECT *, regexp_split_to_array(trim(trim(last_content, '" + _WHITESPACE.replace("'", "''") + "'), '\"'), '\\r\\n|[\\n\\r]')[1] AS o FROM planned)",
+    "rewrite_contexts": f"WITH {_PLANNED} SELECT p.conv_id, p.turn, md5('CONVERSATION SO FAR:' || chr(10) || coalesce(spoken, '(no prior turns)') || chr(10) || chr(10) "
+    "|| 'FOLLOW-UP MESSAGE: ' || question || chr(10) || chr(10) || 'Standalone search query:') AS prompt_md5 FROM planned p LEFT JOIN spoken USING (conv_id, turn)",
+    "ingest_stats": f"WITH RECURSIVE {_chunks()}, {_manifest()}, p AS (SELECT CAST(d.doc_id AS VARCHAR) AS episode_id, length(text) / 16.0 AS duration, "
+    "c.sha256 IS NOT NULL AND c.sha256 = sha256(d.text) AND c.asr_fingerprint = (SELECT max(asr_fingerprint) FROM current WHERE starts_with(episode_id, 'page_')) "
+    "AND length(text) / 16.0 >= 20 AS reuse FROM documents d LEFT JOIN current c ON c.episode_id = CAST(d.doc_id AS VARCHAR)) "
+    "SELECT count(*) AS episodes, count_if(NOT reuse) AS transcribed, count_if(reuse) AS reused, round(sum(duration), 1) AS total_audio_seconds, "
+    "(SELECT count(*) FROM seg) AS total_segments, (SELECT count(*) FROM chunks) AS total_chunks FROM p",
+    "dense_top_scoped": f"WITH RECURSIVE {_POSTINGS}, {_ASKED}, {_CASES}, {_DENSE.replace('QUALIFY dense_rank <= 20', '')}, o AS ("
+    "SELECT id AS query_id, min(episode_id) AS scope FROM gold GROUP BY id) SELECT d.query_id, d.chunk_id, d.dense_score, "
+    "CAST(row_number() OVER (PARTITION BY d.query_id ORDER BY d.dense_score DESC, d.chunk_id) AS INTEGER) AS dense_rank FROM dense d "
+    "JOIN chunks c USING (chunk_id) LEFT JOIN o ON o.query_id = d.query_id WHERE scope IS NULL OR scope = c.episode_id "
+    "QUALIFY row_number() OVER (PARTITION BY d.query_id ORDER BY d.dense_score DESC, d.chunk_id) <= 20",
+    "capped_context": f"WITH RECURSIVE {_SEARCH} SELECT query_id, rank, chunk_id FROM hits "
+    "QUALIFY rank = 1 OR sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) <= 3000",
+    "rendered_context": f"WITH RECURSIVE {_SEARCH} SELECT query_id, md5(string_agg('[Passage ' || rank || ']' || chr(10) || 'Episode: \"' || episode_title || '\"' "
+    f"|| chr(10) || 'Timestamp: ' || {_stamp('start')} || '{fv.EN_DASH}' || {_stamp(chr(34) + 'end' + chr(34))} || chr(10) || 'Transcript: ' || text, "
+    "chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM hits GROUP BY query_id",
+    "validated_cases": f"WITH {_MESSAGES}, r AS (SELECT coalesce(nullif(CASE WHEN length(text) % 3 <> 0 THEN {_tokens('text')}[1] END, ''), 'case_' || item_id) AS id, "
+    "length(text) % 7 <> 0 AS asked FROM messages) SELECT id, 'duplicate case id: ' || id AS problem FROM r GROUP BY id HAVING count(*) > 1 "
+    "UNION ALL SELECT id, 'case ''' || id || ''' has neither ''input'' nor ''turns''' FROM r WHERE NOT asked",
+    "batch_complete": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS request_id, length(text) AS n FROM documents), b AS (SELECT *,
+  '{"faithfulness": ' || n % 6 || ', "completeness": "' || n % 4 || '", "citation_correctness": 4.5, "refusal_correctness": null, "clarity": 9, '
+  || '"unsupported_claims": ["a {b}", "c"], "rationale": "len ' || n || '"}' AS body FROM d)
+SELECT request_id, CASE WHEN n % 7 = 0 THEN NULL WHEN n % 5 = 0 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN n % 5 = 1 THEN 'Here you go: ' || body || ' Done.'
+    WHEN n % 5 = 2 THEN substr(body, 1, length(body) - 1) WHEN n % 5 = 3 THEN 'no grades' ELSE body END AS text,
+  CASE WHEN n % 7 <> 0 THEN 'gpt-4o' END AS model, CASE WHEN n % 7 = 0 THEN 0 ELSE n END AS input_tokens, CASE WHEN n % 7 = 0 THEN 0 ELSE 10 END AS output_tokens,
+  CAST(NULL AS VARCHAR) AS usage_cost, CASE WHEN n % 7 = 0 THEN 'ValueError: no reply' END AS error FROM b""",
+    "formatted_times": f"WITH RECURSIVE {_chunks()} SELECT CAST(doc_id AS VARCHAR) AS episode_id, CAST(id AS INTEGER) AS id, {_stamp('start * 10')} AS ts, "
+    f"{_stamp('start')} || '{fv.EN_DASH}' || {_stamp('stop')} AS range, "
+    "CASE WHEN d >= 3600 THEN d // 3600 || 'h ' || lpad(CAST(d % 3600 // 60 AS VARCHAR), 2, '0') || 'm' WHEN d >= 60 THEN d // 60 || 'm ' || lpad(CAST(d % 60 AS VARCHAR), 2, '0') || 's' "
+    "ELSE d || 's' END AS duration, floor(start * 10) AS parsed, floor(stop) + CAST('0.' || id AS DOUBLE) AS parsed_fraction, "
+    f"CASE WHEN regexp_matches(p, {_quoted(fv.TIMESTAMP_PATTERN)}) THEN coalesce(try_cast(regexp_extract(p, {_quoted(fv.TIMESTAMP_PATTERN)}, 1) AS DOUBLE), 0.0) * 3600 "
+    f"+ coalesce(try_cast(regexp_extract(p, {_quoted(fv.TIMESTAMP_PATTERN)}, 2) AS DOUBLE), 0.0) * 60 + coalesce(try_cast(regexp_extract(p, {_quoted(fv.TIMESTAMP_PATTERN)}, 3) AS DOUBLE), 0.0) END AS parsed_text "
+    f"FROM (SELECT *, CAST(floor(stop * 7) AS BIGINT) AS d, trim(substr(text, 1, 4), {_quoted(_WHITESPACE)}) AS p FROM seg)",
+    "render_transcripts": f"WITH RECURSIVE {_chunks()}, h AS (SELECT doc_id, '# Doc ' || doc_id || chr(10) || '# source: ' || source || '/' || doc_id || '.txt' || chr(10) || '# duration: ' "
+    "|| CASE WHEN d >= 3600 THEN d // 3600 || 'h ' || lpad(CAST(d % 3600 // 60 AS VARCHAR), 2, '0') || 'm' WHEN d >= 60 THEN d // 60 || 'm ' || lpad(CAST(d % 60 AS VARCHAR), 2, '0') || 's' "
+    "ELSE d || 's' END || chr(10) || '# asr: local (medium)' || chr(10) AS head FROM (SELECT *, CAST(floor(length(text) / 16.0) AS BIGINT) AS d FROM documents)), "
+    f"b AS (SELECT doc_id, string_agg('[' || {_stamp('start')} || '] ' || text, chr(10) ORDER BY i) AS body FROM seg GROUP BY doc_id) "
+    "SELECT CAST(doc_id AS VARCHAR) AS episode_id, md5(head || coalesce(chr(10) || body, '')) AS rendered_md5 FROM h LEFT JOIN b USING (doc_id)",
+    "resolve_scopes": """WITH e AS (SELECT CAST(doc_id AS VARCHAR) AS episode_id, 'Doc ' || doc_id AS title, row_number() OVER (ORDER BY 'Doc ' || doc_id, doc_id) - 1 AS position FROM documents),
+q AS (SELECT item_id AS request_id, CASE length(text) % 6 WHEN 0 THEN ' doc ' || item_id || ' ' WHEN 1 THEN CAST(item_id AS VARCHAR) WHEN 2 THEN 'ALL'
+  WHEN 3 THEN CAST(length(text) * 100 AS VARCHAR) WHEN 4 THEN 'DOC ' || length(text) ELSE 'Show ' || item_id END AS argument FROM benchmark),
+a AS (SELECT *, trim(argument) AS arg, lower(trim(argument)) IN ('0', 'all', 'none', 'clear', '') AS clears, regexp_matches(trim(argument), '^[0-9]+$') AS is_number FROM q),
+f AS (SELECT a.request_id, min_by(e.episode_id, e.position) AS episode_id FROM a JOIN e ON CASE WHEN is_number THEN try_cast(arg AS BIGINT) - 1 = e.position
+  ELSE lower(arg) = e.episode_id OR lower(arg) = lower(e.title) END WHERE NOT clears GROUP BY a.request_id)
+SELECT a.request_id, argument, f.episode_id, CASE WHEN clears OR f.episode_id IS NOT NULL THEN NULL WHEN is_number THEN 'there is no episode ' || arg
+  ELSE 'no episode matches ''' || arg || '''' END AS error FROM a LEFT JOIN f USING (request_id)""",
 }
