@@ -1,7 +1,7 @@
 """Token counts that follow edits.
 
-A document's pre-tokens stand in runs of up to ``LEAF``, the leaves of a segment
-tree whose nodes hold the characters and tokens below them. An edit finds its
+A document's pre-tokens stand in runs of ``LEAF``, at most twice as many after edits,
+the leaves of a segment tree whose nodes hold the characters and tokens below them. An edit finds its
 leaf by characters, cuts the pre-tokens it touches again together with their
 boundary context, takes in old pre-tokens until old and new boundaries meet, and
 updates the sums on the paths to the touched leaves. The rest is not read.
@@ -63,19 +63,20 @@ class TokenTree:
         self.counter = counter
         tokens = counter.cut.findall(text)
         self.leaves = [tokens[i : i + LEAF] for i in range(0, len(tokens), LEAF)] or [[]]
+        self.build([(sum(map(len, leaf)), sum(map(counter.count, leaf))) for leaf in self.leaves])
+        self.recut = 0  # characters cut again by edits
+
+    def build(self, sums: list[tuple[int, int]]) -> None:
+        """The nodes over leaves of these characters and tokens."""
         self.width = 1
-        while self.width < len(self.leaves):
+        while self.width < len(sums):
             self.width *= 2
-        self.chars = [0] * (2 * self.width)
-        self.tokens = [0] * (2 * self.width)
-        count = counter.count
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.width + i] = sum(map(len, leaf))
-            self.tokens[self.width + i] = sum(map(count, leaf))
+        empty = [0] * (self.width - len(sums))
+        self.chars = [0] * self.width + [c for c, _ in sums] + empty
+        self.tokens = [0] * self.width + [t for _, t in sums] + empty
         for node in range(self.width - 1, 0, -1):
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-        self.recut = 0  # characters cut again by edits
 
     def text(self) -> str:
         return "".join(t for leaf in self.leaves for t in leaf)
@@ -142,6 +143,7 @@ class TokenTree:
         kept = self.leaves[leaf][:index] + new
         if upto == leaf:
             self.put(leaf, kept + rest)
+            self.split(leaf)
             return
         # what is left of the last leaf stays there; leaves in between are empty now
         last = self.leaves[upto]
@@ -150,6 +152,24 @@ class TokenTree:
         for between in range(leaf + 1, upto):
             self.put(between, [])
         self.put(upto, tail)
+        self.split(leaf)
+
+    def split(self, leaf: int) -> None:
+        """Cut a leaf over twice ``LEAF`` into leaves of ``LEAF``, and drop empty ones.
+
+        Only sums are set anew for the other leaves, and this many pre-tokens have come
+        in since the last time.
+        """
+        tokens = self.leaves[leaf]
+        if len(tokens) <= 2 * LEAF:
+            return
+        sums = [(self.chars[self.width + i], self.tokens[self.width + i]) for i in range(len(self.leaves))]
+        parts = [tokens[i : i + LEAF] for i in range(0, len(tokens), LEAF)]
+        self.leaves[leaf : leaf + 1] = parts
+        sums[leaf : leaf + 1] = [(sum(map(len, p)), sum(map(self.counter.count, p))) for p in parts]
+        held = [i for i, own in enumerate(self.leaves) if own]
+        self.leaves = [self.leaves[i] for i in held]
+        self.build([sums[i] for i in held])
 
 
 @cache

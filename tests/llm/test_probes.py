@@ -97,3 +97,19 @@ def test_empty_tables(spark):
     for query in (license_scan.license_query, pieces.pieces_query, edit_counts.edit_count_query):
         assert query(docs).count() == 0
     assert toxicity.toxicity_query(docs, spark.createDataFrame([], "doc_id bigint, toxic int")).count() == 0
+
+
+@pytest.mark.parametrize("place", ["front", "middle", "end", "moving"])
+def test_edits_read_little_after_many(place):
+    """Thousands of insertions at one place: leaves stay small, counts stay right."""
+    counter = edit_counts.counter(edit_counts.RANKS)
+    tree = edit_counts.TokenTree("some words of a text that is edited " * 40, counter)
+    rng = random.Random(1)
+    for i in range(4000):
+        size = tree.chars[1]
+        at = {"front": 0, "middle": size // 2, "end": size, "moving": rng.randrange(size + 1)}[place]
+        tree.edit(at, rng.choice([0, 0, 0, 3]), rng.choice([" a", "bc ", " 12", "\n", "x"]))
+        assert max(map(len, tree.leaves)) <= 2 * edit_counts.LEAF
+    assert tree.recut < 4000 * 200
+    again = edit_counts.TokenTree(tree.text(), counter)
+    assert tree.tokens[1] == again.tokens[1] and sum(tree.leaves, []) == sum(again.leaves, [])
