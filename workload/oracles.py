@@ -488,4 +488,9 @@ f AS (SELECT a.request_id, min_by(e.episode_id, e.position) AS episode_id FROM a
   ELSE lower(arg) = e.episode_id OR lower(arg) = lower(e.title) END WHERE NOT clears GROUP BY a.request_id)
 SELECT a.request_id, argument, f.episode_id, CASE WHEN clears OR f.episode_id IS NOT NULL THEN NULL WHEN is_number THEN 'there is no episode ' || arg
   ELSE 'no episode matches ''' || arg || '''' END AS error FROM a LEFT JOIN f USING (request_id)""",
+    "rewritten_turns": f"WITH {_PLANNED}, heard AS (SELECT conv_id, turn, min_by(line, place) AS line FROM lines WHERE starts_with(line, 'Learner: ') GROUP BY ALL), "
+    "w AS (SELECT p.*, list_concat(coalesce(list_filter(regexp_split_to_array(split_part(substr(line, 10), chr(10), 1), '\\s+'), lambda x: x <> '')[1:4], []), "
+    "list_filter(regexp_split_to_array(question, '\\s+'), lambda x: x <> '')[1:12]) AS words FROM planned p LEFT JOIN heard USING (conv_id, turn)), "
+    "o AS (SELECT *, trim(array_to_string(words, ' '), '\"') AS offered FROM w) SELECT conv_id || ':' || turn AS query_id, question, "
+    "CASE WHEN rewrite AND length(offered) BETWEEN 1 AND 300 THEN offered ELSE question END AS rewritten, n_messages FROM o",
 }
