@@ -292,6 +292,82 @@ _SUMMARY = """SELECT count(*) AS num_cases, count_if(passed) AS passed, round(av
   count_if(refusal) AS num_refusal_cases, round(coalesce(avg(CASE WHEN refusal THEN CAST(passed AS INTEGER) END), 0.0), 4) AS refusal_accuracy,
   count_if(NOT refusal AND not_covered) AS false_refusals FROM run"""
 
+# answers made from the hits, their citations and checks, as in fixtures.raw_answers and plans.ask
+_ANSWERS = f"""{_METRICS}, raws AS (
+  SELECT m.id AS answer_id, m.message, CASE WHEN not_covered AND k < 2 THEN 'not_covered: nothing here speaks to that.'
+    WHEN not_covered THEN 'Sorry. {fv.NOT_COVERED_MARKER} ' || claims ELSE claims END AS raw_answer
+  FROM (SELECT *, length(message) % 5 AS k FROM messages) m JOIN diagnostics d ON d.query_id = m.id JOIN (
+    SELECT query_id, string_agg(words || '  (Ep. "' || title || '" ' || {_stamp('a')} || '-' || {_stamp('z')} || ').', ' ' ORDER BY rank) AS claims FROM (
+      SELECT query_id, rank, array_to_string(string_split(text, ' ')[1:6], ' ') AS words, episode_title || CASE WHEN k = 1 THEN ' (lost)' ELSE '' END AS title,
+        CASE k WHEN 2 THEN 3540.0 WHEN 3 THEN "end" + 30.0 WHEN 4 THEN "end" + 1.0 ELSE start END AS a,
+        CASE k WHEN 2 THEN 3570.0 WHEN 3 THEN "end" + 60.0 WHEN 4 THEN start ELSE "end" + 1.0 END AS z
+      FROM (SELECT h.*, length(message) % 5 AS k FROM hits h JOIN messages m ON m.id = h.query_id) WHERE rank <= 3)
+    GROUP BY query_id) c ON c.query_id = m.id
+), bare AS (SELECT *, trim(raw_answer, {_quoted(_WHITESPACE)}) AS b FROM raws),
+marked AS (
+  SELECT answer_id, message, raw_answer, starts_with(upper(b), '{fv.NOT_COVERED_MARKER}') OR contains(b, '{fv.NOT_COVERED_MARKER}') AS not_covered,
+    CASE WHEN starts_with(upper(b), '{fv.NOT_COVERED_MARKER}') THEN coalesce(nullif(ltrim(substr(b, {len(fv.NOT_COVERED_MARKER) + 1}), ' :-' || chr(10)), ''), {_quoted(fv.NOT_COVERED_MESSAGE)})
+      WHEN contains(b, '{fv.NOT_COVERED_MARKER}') THEN trim(replace(b, '{fv.NOT_COVERED_MARKER}', ''), {_quoted(_WHITESPACE)}) ELSE b END AS answer
+  FROM bare
+), found AS (
+  SELECT answer_id, unnest(range(0, len(r))) AS pos, unnest(r) AS raw, trim(unnest(t)) AS title, unnest(s) AS s, unnest(e) AS e FROM (
+    SELECT answer_id, regexp_extract_all(answer, {_quoted(fv.CITATION_PATTERN)}, 0) AS r, regexp_extract_all(answer, {_quoted(fv.CITATION_PATTERN)}, 1) AS t,
+      regexp_extract_all(answer, {_quoted(fv.CITATION_PATTERN)}, 2) AS s, regexp_extract_all(answer, {_quoted(fv.CITATION_PATTERN)}, 3) AS e FROM marked)
+), citations AS (
+  SELECT answer_id, CAST(pos AS INTEGER) AS pos, title, raw, @A@ AS start, @Z@ AS "end" FROM found
+), validated AS (
+  SELECT c.*, CASE WHEN d.doc_id IS NOT NULL THEN CAST(d.doc_id AS VARCHAR) END AS episode_id,
+    CASE WHEN c."end" <= c.start THEN '{fv.REASON_MALFORMED}' WHEN shown IS NULL THEN '{fv.REASON_NOT_RETRIEVED}'
+      WHEN c.start > length(d.text) / 16.0 THEN '{fv.REASON_BEYOND_END}' WHEN NOT meets THEN '{fv.REASON_NO_OVERLAP}' END AS reason
+  FROM citations c LEFT JOIN (SELECT c.answer_id, c.pos, true AS shown, bool_or(c.start <= h."end" + 5 AND c."end" >= h.start - 5) AS meets
+    FROM citations c JOIN hits h ON h.query_id = c.answer_id AND lower(h.episode_title) = lower(c.title) GROUP BY ALL) s ON s.answer_id = c.answer_id AND s.pos = c.pos
+  LEFT JOIN documents d ON 'doc ' || d.doc_id = lower(c.title)
+), answers AS (
+  SELECT m.answer_id, m.message, m.not_covered, coalesce(n, 0) AS num_citations, coalesce(bad, 0) AS num_invalid, coalesce(reasons, '') AS reasons,
+    CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE (n - bad) / CAST(n AS DOUBLE) END AS citation_validity,
+    trim(CASE WHEN coalesce(bad, 0) > 0 THEN regexp_replace(list_reduce(list_prepend(answer, bads), lambda x, y: replace(x, y, '')), '[ \\t]{{2,}}', ' ', 'g') ELSE answer END,
+      {_quoted(_WHITESPACE)}) AS answer
+  FROM marked m LEFT JOIN (SELECT answer_id, count(*) AS n, count(reason) AS bad, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons,
+    list(raw ORDER BY pos) FILTER (WHERE reason IS NOT NULL) AS bads FROM validated GROUP BY answer_id) v ON v.answer_id = m.answer_id
+), openings AS (
+  SELECT g.id, {_tokens('substr(d.text, 1, 400)')}[1:3] AS words FROM (SELECT id, min(episode_id) AS episode_id FROM gold GROUP BY id) g
+  JOIN documents d ON CAST(d.doc_id AS VARCHAR) = g.episode_id
+), claims AS (
+  SELECT id, unnest(c) AS claim, unnest(range(0, len(c))) AS place FROM (
+    SELECT id, list_filter(list_concat([{_tokens('n.text')}[-1], l.w[1]], coalesce(o.words, [])), lambda c: c IS NOT NULL) AS c
+    FROM messages m JOIN long_words l USING (id) LEFT JOIN openings o USING (id) LEFT JOIN benchmark n ON n.item_id = m.item_id + 1)
+), leaked AS (
+  SELECT c.id, c.claim, c.place FROM claims c JOIN answers a ON a.answer_id = c.id JOIN messages m ON m.id = c.id
+  WHERE {_contains('a.answer', 'c.claim')} AND NOT {_contains("CASE WHEN length(m.text) % 2 = 0 THEN 'Hello there. ' ELSE '' END || m.message", 'c.claim')}
+), graded AS (
+  SELECT 'case_' || doc_id AS id, * EXCLUDE (doc_id) FROM ({_GRADES}) WHERE faithfulness IS NOT NULL
+), full_checks AS (
+  SELECT t.id, t.category, t.refusal, t.episode_hit, t.term_coverage, t.top_score, a.answer, a.not_covered, a.num_citations, a.num_invalid, a.citation_validity, a.reasons,
+    length(trim(a.answer)) > 0 AS non_empty_answer, CASE WHEN refusal THEN a.not_covered END AS refused_correctly,
+    CASE WHEN NOT refusal THEN NOT a.not_covered END AS answered_when_covered, l.names IS NULL AS no_forbidden_claims,
+    CASE WHEN NOT refusal AND NOT a.not_covered THEN a.num_citations > 0 END AS has_citation, a.num_invalid = 0 AS citations_valid,
+    CASE WHEN NOT refusal THEN t.episode_hit >= 0.999 END AS retrieved_expected_episode, l.names, g.* EXCLUDE (id)
+  FROM metrics t JOIN answers a ON a.answer_id = t.id LEFT JOIN (SELECT id, list(claim ORDER BY place) AS names FROM leaked GROUP BY id) l ON l.id = t.id LEFT JOIN graded g ON g.id = t.id
+), answered AS (
+  SELECT *, checks_passed AND coalesce(judge_passed, true) AS passed FROM (SELECT *, non_empty_answer AND coalesce(refused_correctly, true) AND coalesce(answered_when_covered, true)
+    AND no_forbidden_claims AND coalesce(has_citation, true) AND citations_valid AND coalesce(retrieved_expected_episode, true) AS checks_passed FROM full_checks)
+)""".replace(
+    "@A@", "list_reduce(list_transform(string_split(s, ':'), lambda x: CAST(x AS DOUBLE)), lambda x, y: x * 60 + y)",
+).replace(
+    "@Z@", "list_reduce(list_transform(string_split(e, ':'), lambda x: CAST(x AS DOUBLE)), lambda x, y: x * 60 + y)",
+)
+_MEANS = ", ".join(f"round(coalesce(avg({n}), 0.0), 3) AS mean_{n}" for n in ("faithfulness", "completeness", "citation_correctness", "refusal_correctness", "clarity"))
+_REPORT = f"""SELECT count(*) AS num_cases, count_if(passed) AS passed, round(avg(CAST(passed AS INTEGER)), 4) AS pass_rate, 0 AS errors,
+  round(coalesce(avg(CASE WHEN NOT refusal THEN episode_hit END), 0.0), 4) AS mean_episode_hit,
+  round(coalesce(avg(CASE WHEN NOT refusal THEN term_coverage END), 0.0), 4) AS mean_term_coverage, round(avg(top_score), 6) AS mean_top_score,
+  count_if(refusal) AS num_refusal_cases, round(coalesce(avg(CASE WHEN refusal THEN CAST(passed AS INTEGER) END), 0.0), 4) AS refusal_accuracy,
+  count_if(NOT refusal AND not_covered) AS false_refusals, round(avg(citation_validity), 4) AS mean_citation_validity,
+  CAST(sum(num_citations) AS BIGINT) AS total_citations, CAST(sum(num_invalid) AS BIGINT) AS invalid_citations,
+  count_if(NOT no_forbidden_claims) AS forbidden_claim_violations, CAST(coalesce(sum(num_unsupported), 0) AS BIGINT) AS judge_unsupported_claims,
+  count(faithfulness) AS num_judged, round(coalesce(avg(CAST(judge_passed AS INTEGER)), 0.0), 4) AS judge_pass_rate, {_MEANS},
+  round(avg(length(answer)), 1) AS mean_ms, round(CAST(max(length(answer)) AS DOUBLE), 1) AS max_ms, round(sum(round(length(answer) / 1000.0, 3)), 6) AS estimated_usd FROM answered"""
+
+
 _SCOPED = f"""{_POSTINGS}, {_ASKED}, {_CASES}, scopes AS (SELECT id AS query_id, min(episode_id) AS scope FROM gold GROUP BY id),
 scored AS (
   SELECT a.query_id, chunk_id, any_value(episode_id) AS episode_id, any_value(scope) AS scope,
@@ -493,4 +569,38 @@ SELECT a.request_id, argument, f.episode_id, CASE WHEN clears OR f.episode_id IS
     "list_filter(regexp_split_to_array(question, '\\s+'), lambda x: x <> '')[1:12]) AS words FROM planned p LEFT JOIN heard USING (conv_id, turn)), "
     "o AS (SELECT *, trim(array_to_string(words, ' '), '\"') AS offered FROM w) SELECT conv_id || ':' || turn AS query_id, question, "
     "CASE WHEN rewrite AND length(offered) BETWEEN 1 AND 300 THEN offered ELSE question END AS rewritten, n_messages FROM o",
+    "stripped_markers": f"WITH RECURSIVE {_ANSWERS} SELECT answer_id, answer, not_covered FROM marked",
+    "extracted_citations": f"WITH RECURSIVE {_ANSWERS} SELECT answer_id, pos, title, start, \"end\", raw, "
+    f"{_stamp('start')} || '{fv.EN_DASH}' || {_stamp(chr(34) + 'end' + chr(34))} AS formatted FROM citations",
+    "validated_citations": f"WITH RECURSIVE {_ANSWERS} SELECT answer_id, pos, title, start, \"end\", raw, episode_id, reason IS NULL AS valid, reason FROM validated",
+    "stripped_answers": f"WITH RECURSIVE {_ANSWERS} SELECT answer_id, answer, not_covered FROM answers",
+    "citation_validity": f"WITH RECURSIVE {_ANSWERS} SELECT answer_id, num_citations, num_invalid, round(citation_validity, 6) AS citation_validity FROM answers",
+    "failure_reasons": f"WITH RECURSIVE {_ANSWERS} SELECT answer_id, reasons FROM answers",
+    "answer_sources": f"WITH RECURSIVE {_ANSWERS}, v AS (SELECT * FROM validated WHERE reason IS NULL) SELECT h.query_id AS answer_id, chunk_id, h.episode_id, h.start, h.\"end\", "
+    f"{_stamp('h.start')} || '{fv.EN_DASH}' || {_stamp('h.' + chr(34) + 'end' + chr(34))} AS timestamp, source_file, round(score, 6) AS score "
+    "FROM hits h JOIN marked m ON m.answer_id = h.query_id WHERE NOT m.not_covered AND (h.query_id NOT IN (SELECT answer_id FROM v) OR EXISTS (SELECT 1 FROM v "
+    "WHERE v.answer_id = h.query_id AND lower(v.title) = lower(h.episode_title) AND v.start <= h.\"end\" + 5 AND v.\"end\" >= h.start - 5))",
+    "forbidden_claims": f"WITH RECURSIVE {_ANSWERS} SELECT id, claim FROM leaked",
+    "full_checks": f"WITH RECURSIVE {_ANSWERS} SELECT id, non_empty_answer, refused_correctly, answered_when_covered, no_forbidden_claims, has_citation, citations_valid, "
+    "retrieved_expected_episode, array_to_string(list_filter([CASE WHEN NOT non_empty_answer THEN 'the answer was empty' END, "
+    "CASE WHEN refusal AND NOT not_covered THEN 'out-of-scope question was answered instead of refused' END, "
+    "CASE WHEN NOT refusal AND not_covered THEN 'in-scope question was wrongly refused as not covered' END, "
+    "CASE WHEN NOT no_forbidden_claims THEN 'used facts not in the episodes: ' || array_to_string(names, ', ') END, "
+    "CASE WHEN has_citation = false THEN 'no citation was given for a claim-bearing answer' END, "
+    "CASE WHEN num_invalid > 0 THEN num_invalid || ' citation(s) failed validation: ' || reasons END, "
+    "CASE WHEN retrieved_expected_episode = false THEN 'retrieval missed expected episode(s) (hit ' || CAST(CAST(round_even(episode_hit * 100, 0) AS INTEGER) AS VARCHAR) || '%)' END], "
+    "lambda f: f IS NOT NULL), '; ') AS failures, checks_passed FROM answered",
+    "outcomes": f"WITH RECURSIVE {_ANSWERS} SELECT id, category, checks_passed, judge_passed, passed FROM answered",
+    "citation_metrics": f"WITH RECURSIVE {_ANSWERS} SELECT mean_citation_validity, total_citations, invalid_citations FROM ({_REPORT})",
+    "hallucination_metrics": f"WITH RECURSIVE {_ANSWERS} SELECT forbidden_claim_violations, judge_unsupported_claims FROM ({_REPORT})",
+    "eval_latency_cost": f"WITH RECURSIVE {_ANSWERS} SELECT mean_ms, max_ms, estimated_usd FROM ({_REPORT})",
+    "run_report": f"WITH RECURSIVE {_ANSWERS} {_REPORT}",
+    "selected_cases": f"WITH RECURSIVE {_ANSWERS} SELECT id, category, array_to_string(expected, ',') AS expected_episodes, "
+    "array_to_string(must_retrieve, ',') AS must_retrieve, coalesce(f, '') AS forbidden_claims, refusal, NOT refusal AS must_cite "
+    "FROM cases LEFT JOIN (SELECT id, string_agg(claim, ',' ORDER BY place) AS f FROM claims GROUP BY id) USING (id) "
+    "WHERE category = 'cross_episode' OR id IN ('case_0', 'case_7')",
+    "derive_titles": rf"WITH {_FILES}, s AS (SELECT name, regexp_replace(name, '^(.+)\.[^.]+$', '\1') AS stem FROM files), "
+    rf"t AS (SELECT *, trim(regexp_replace(translate(regexp_replace(stem, '{fv.TRACK_PREFIX_PATTERN}', ''), '_-', '  '), '\s+', ' ', 'g')) AS t FROM s) "
+    "SELECT name, CASE WHEN length(t) = 0 THEN stem WHEN lower(t) = t AND upper(t) <> t THEN array_to_string(list_transform(string_split(t, ''), "
+    r"lambda c, i: CASE WHEN i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '\p{L}') THEN upper(c) ELSE c END), '') ELSE t END AS title FROM t",
 }
