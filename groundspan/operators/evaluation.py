@@ -52,11 +52,11 @@ def validate_cases(cases: DataFrame) -> DataFrame:
         cases.groupBy("id")
         .count()
         .where("count > 1")
-        .select("id", F.concat(F.lit("duplicate case id: "), "id").alias("problem"))
+        .select("id", F.concat(F.lit(fv.CASE_DUPLICATE), "id").alias("problem"))
     )
     silent = cases.where(F.size("turns") == 0).select(
         "id",
-        F.concat(F.lit("case '"), "id", F.lit("' has neither 'input' nor 'turns'")).alias(
+        F.concat(F.lit("case '"), "id", F.lit(fv.CASE_SILENT)).alias(
             "problem"
         ),
     )
@@ -152,24 +152,24 @@ def retrieval_checks(metrics: DataFrame) -> DataFrame:
         F.when(
             refusal & ~refused,
             F.concat(
-                F.lit("evidence gate did not fire for an out-of-scope question (max similarity "),
+                F.lit(fv.FAIL_GATE_SILENT),
                 F.format_string("%.3f", F.round("max_dense_similarity", 3)),
                 F.lit(")"),
             ),
         ),
         F.when(
             ~refusal & ~found,
-            F.concat(F.lit("missed expected episode(s) (hit "), _percent(F.col("episode_hit")), F.lit(")")),
+            F.concat(F.lit(fv.FAIL_MISSED), _percent(F.col("episode_hit")), F.lit(")")),
         ),
         F.when(
             ~refusal & ~covered,
             F.concat(
-                F.lit("retrieved passages covered only "),
+                F.lit(fv.FAIL_COVERED_ONLY),
                 _percent(F.col("term_coverage")),
-                F.lit(" of the expected terms"),
+                F.lit(fv.FAIL_COVERED_END),
             ),
         ),
-        F.when(~refusal & refused, F.lit("evidence gate wrongly refused an answerable question")),
+        F.when(~refusal & refused, F.lit(fv.FAIL_GATE_WRONG)),
     ]
     return _checked(metrics, checks, failures)
 
@@ -207,32 +207,32 @@ def full_checks(answered: DataFrame) -> DataFrame:
         "retrieved_expected_episode": F.when(~refusal, found),
     }
     failures = [
-        F.when(~nonempty, F.lit("the answer was empty")),
+        F.when(~nonempty, F.lit(fv.FAIL_EMPTY)),
         F.when(
-            refusal & ~refused, F.lit("out-of-scope question was answered instead of refused")
+            refusal & ~refused, F.lit(fv.FAIL_NOT_REFUSED)
         ),
         F.when(
-            ~refusal & refused, F.lit("in-scope question was wrongly refused as not covered")
+            ~refusal & refused, F.lit(fv.FAIL_REFUSED)
         ),
         F.when(
             ~clean,
             F.concat(
-                F.lit("used facts not in the episodes: "), F.array_join("leaked_claims", ", ")
+                F.lit(fv.FAIL_CLAIMS), F.array_join("leaked_claims", ", ")
             ),
         ),
-        F.when(must_cite & ~cited, F.lit("no citation was given for a claim-bearing answer")),
+        F.when(must_cite & ~cited, F.lit(fv.FAIL_NO_CITATION)),
         F.when(
             ~valid,
             F.concat(
                 F.col("num_invalid").cast("string"),
-                F.lit(" citation(s) failed validation: "),
+                F.lit(fv.FAIL_CITATIONS),
                 F.col("reasons"),
             ),
         ),
         F.when(
             ~refusal & ~found,
             F.concat(
-                F.lit("retrieval missed expected episode(s) (hit "),
+                F.lit(fv.FAIL_RETRIEVAL),
                 _percent(F.col("episode_hit")),
                 F.lit(")"),
             ),
