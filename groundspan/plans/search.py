@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from groundspan.functions.text import strip_ws
 from groundspan.operators.dense import Embedder, dense_topk, embed_column, hashing_embedder
+from groundspan.operators.dense_approx import approx_topk
 from groundspan.operators.fusion import balanced_topk, rrf_fuse
 from groundspan.operators.lexical import bm25_topk
 from groundspan.operators.rerank import Scorer, below_evidence, rerank
@@ -38,12 +39,17 @@ def candidate_lists(
     settings: Settings,
     embedder: Embedder | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """The dense and (in hybrid mode) the lexical ranking of every question."""
+    """The dense and (in hybrid mode) the lexical ranking of every question.
+
+    ``embedder`` embeds the questions; the passages have been embedded by the one
+    that the index was built with, so a model may treat the two apart.
+    """
     embedder = embedder or hashing_embedder(settings.embed_dim)
     vectors = embed_column(
         questions.select("query_id", "query", "scope"), embedder, text="query"
     )
-    dense = dense_topk(vectors, index.passages, settings.dense_k)
+    nearest = approx_topk if settings.dense_search == "buckets" else dense_topk
+    dense = nearest(vectors, index.passages, settings.dense_k)
     if settings.retrieval_mode != "hybrid":
         return dense, None
     lexical = bm25_topk(

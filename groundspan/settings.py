@@ -19,6 +19,7 @@ class Settings:
     top_k: int = 5
     rrf_k: int = 60
     retrieval_mode: str = "hybrid"  # or "dense"
+    dense_search: str = "exact"  # or "buckets": approximate, by bucketed random projections
     enable_rerank: bool = True
     enable_compare_mode: bool = True
     # False reproduces the historical behaviour of filtering a scoped lexical

@@ -35,6 +35,7 @@ from groundspan.operators import model_hooks as hooks
 from groundspan.operators import runs, sessions
 from groundspan.operators.block_max import bm25_topk_blocks, build_blocks
 from groundspan.operators.dense import dense_topk, embed_column, hashing_embedder
+from groundspan.operators.dense_approx import approx_topk
 from groundspan.operators.fusion import balanced_topk, rrf, rrf_fuse
 from groundspan.operators.lexical import bm25_topk
 from groundspan.operators.long_episodes import chunk_long
@@ -374,6 +375,14 @@ def dense_top(spark, sf):
     return dense_topk(asked, ix.passages, 20)
 
 
+@query
+def dense_top_approx(spark, sf):
+    """The same by bucketed random projections: the passages that share a bucket."""
+    ix = fx.search_index(spark, sf)
+    asked = embed_column(fx.questions(spark, sf), hashing_embedder(64), text="query")
+    return approx_topk(asked, ix.passages, 20)
+
+
 @query
 def dense_top_vectors(spark, sf):
     """The mean vector of every label against the whole embeddings table."""
