@@ -72,7 +72,8 @@ def positions(docs: DataFrame) -> DataFrame:
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), tokens_of(F.col("text")).alias("words"))
     # the count first: beside the explode it would carry the array along in every row
     counted = words.select("doc_id", "text_key", F.size("words").alias("n"), "words")
-    return counted.select("doc_id", "text_key", "n", F.posexplode("words").alias("at", "token"))
+    # the plain explode would have Spark filter out empty arrays first, and cut every text once more to do so
+    return counted.select("doc_id", "text_key", "n", F.posexplode_outer("words").alias("at", "token")).where("token is not null")
 
 
 def in_slices(rows: DataFrame, by: str, limit: int) -> list[DataFrame]:
