@@ -73,7 +73,9 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has white space inside; words cannot be encoded apart")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}  # ids of four bytes each
+        # ids of four bytes each, of words met lately and of those met before them
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain byte-pair merging: the best-scored neighbours first, leftmost of equals."""
@@ -152,10 +154,12 @@ class PieceModel:
         units = [marked_words(t) for t in texts]
         distinct = set(chain.from_iterable(units))
         new = distinct - self.words.keys()
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
+        if len(self.words) + len(new) > CACHED_WORDS // 2:
+            self.older, self.words = self.words, {}
             new = distinct
-        self.encode_words(list(new))
+        known = new & self.older.keys()
+        self.words.update((w, self.older[w]) for w in known)
+        self.encode_words(list(new - known))
         of = self.words.__getitem__
         return [np.frombuffer(b"".join(map(of, own)), np.int32) for own in units]
 
