@@ -13,6 +13,10 @@ their joined text gives back just these two. A prefix has exactly one admissible
 piece at its end, the one its merging leaves there. This gives the ids of the
 public library; ``merged`` is the plain merging that defines admissibility.
 
+A unigram vocabulary is another matter: there the best path is the one with the
+largest sum, and ``best_paths`` finds it by the same walk with summed forward
+scores, which sorted words share along their common prefixes.
+
 Characters outside the vocabulary become their UTF-8 bytes' pieces.
 
 Cases: a null or empty text has no ids. Only a text that holds the mark itself
@@ -22,10 +26,11 @@ rows are encoded alike. Results replace columns of their names.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import cache
 from itertools import chain
-from typing import Iterator
+from typing import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +42,8 @@ from groundspan.llm.tables import chunks, clean, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
+# what a unigram path pays for a character outside the vocabulary, under the lowest score
+UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 100_000
 CACHED_PAIRS = 120_000
 
@@ -50,6 +57,60 @@ def marked_words(text: str) -> list[str]:
     return [unit[1:] for unit in _UNITS.findall(MARK + text.replace(" ", MARK))]
 
 
+def by_ending(pieces: Iterable[str]) -> tuple[dict, str | None]:
+    """The pieces read from their ends: a node holds its next characters and its piece."""
+    root: tuple[dict, str | None] = ({}, None)
+    for piece in pieces:
+        children = root[0]
+        for char in reversed(piece[1:]):
+            node = children.get(char)
+            if node is None:
+                node = children[char] = ({}, None)
+            children = node[0]
+        children[piece[0]] = (children.get(piece[0], ({}, None))[0], piece)
+    return root
+
+
+def best_paths(words: Iterable[str], scores: dict[str, float]) -> dict[str, tuple[float, list[str]]]:
+    """(sum, pieces) with the largest sum of scores for each of the words, by a unigram vocabulary.
+
+    A character without a piece of its own is one by itself, at ``UNKNOWN_PENALTY``
+    under the lowest score. Of equal sums the path with the longer last piece stays.
+    An empty word has no pieces; an empty vocabulary leaves single characters.
+    """
+    endings = by_ending(scores)[0]
+    unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
+    forward: list[tuple[float, str]] = [(0.0, "")]  # the best sum of each prefix of ``path`` and its last piece
+    path, found = "", {}
+    for word in sorted(set(words)):
+        shared = 0
+        for a, b in zip(path, word):
+            if a != b:
+                break
+            shared += 1
+        del forward[shared + 1 :]
+        for end in range(shared + 1, len(word) + 1):
+            best, last = -math.inf, ""
+            if word[end - 1] not in scores:
+                best, last = forward[end - 1][0] + unknown, word[end - 1]
+            at, children = end, endings
+            while at:
+                at -= 1
+                node = children.get(word[at])
+                if node is None:
+                    break
+                children, piece = node
+                if piece is not None and forward[at][0] + scores[piece] >= best:
+                    best, last = forward[at][0] + scores[piece], piece
+            forward.append((best, last))
+        path, back, end = word, [], len(word)
+        while end:
+            back.append(forward[end][1])
+            end -= len(back[-1])
+        found[word] = forward[-1][0], back[::-1]
+    return found
+
+
 class PieceModel:
     def __init__(self, path: str):
         own = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -63,13 +124,7 @@ class PieceModel:
             self.raw[i] = piece.replace(MARK, " ").encode()
         for value, i in self.byte_ids.items():
             self.raw[i] = bytes([value])
-        # pieces read from their ends: a node holds its next characters and its piece
-        self.endings: tuple[dict, str | None] = ({}, None)
-        for piece in self.ids:
-            children = self.endings[0]
-            for char in reversed(piece[1:]):
-                children = children.setdefault(char, ({}, None))[0]
-            children[piece[0]] = (children.get(piece[0], ({}, None))[0], piece)
+        self.endings = by_ending(self.ids)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has white space inside; words cannot be encoded apart")
         self.pairs: dict[tuple[str, str], bool] = {}

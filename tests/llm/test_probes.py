@@ -113,3 +113,37 @@ def test_edits_read_little_after_many(place):
     assert tree.recut < 4000 * 200
     again = edit_counts.TokenTree(tree.text(), counter)
     assert tree.tokens[1] == again.tokens[1] and sum(tree.leaves, []) == sum(again.leaves, [])
+
+
+def test_unigram_paths_equal_all_segmentations():
+    """The shared forward scores against every way to cut a word."""
+    rng = random.Random(9)
+
+    def cuts(word):
+        if not word:
+            yield []
+        for n in range(1, len(word) + 1):
+            for rest in cuts(word[n:]):
+                yield [word[:n], *rest]
+
+    for _ in range(20):
+        scores = {"".join(rng.choices("abc", k=rng.randrange(1, 5))): -rng.randrange(1, 40) / 4 for _ in range(15)}
+        unknown = min(scores.values()) - pieces.UNKNOWN_PENALTY
+        cost = lambda piece: scores.get(piece, unknown if len(piece) == 1 else None)
+        words = ["".join(rng.choices("abcd", k=rng.randrange(0, 9))) for _ in range(25)]
+        found = pieces.best_paths(words, scores)
+        assert found.keys() == set(words)
+        for word, (total, path) in found.items():
+            sums = [sum(map(cost, c)) for c in cuts(word) if all(cost(p) is not None for p in c)]
+            assert "".join(path) == word and total == sum(map(cost, path)) == max(sums)
+    assert pieces.best_paths([], {}) == {} and pieces.best_paths(["", "ab"], {}) == {"": (0.0, []), "ab": (-20.0, ["a", "b"])}
+
+
+def test_words_of_two_generations_equal_fresh_ones(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) + rng.choice(["ing", "tion", "é"]) for _ in range(30)) for _ in range(40)]
+    whole = pieces.PieceModel(pieces.MODEL).encode(texts)
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 60)
+    small = pieces.PieceModel(pieces.MODEL)
+    assert [small.encode([t])[0] for t in texts] == whole
+    assert small.older and len(small.words) <= 60
