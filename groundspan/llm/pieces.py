@@ -44,8 +44,8 @@ MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 # what a unigram path pays for a character outside the vocabulary, under the lowest score
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 100_000
-CACHED_PAIRS = 120_000
+CACHED_WORDS = 400_000
+CACHED_PAIRS = 500_000
 
 
 def marked_words(text: str) -> list[str]:
