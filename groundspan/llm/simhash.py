@@ -70,10 +70,14 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(ones, bitorder="little").view("<u8")[0])
 
 
+def signed_fingerprint(text: str) -> int:
+    return _signed(fingerprint(text))
+
+
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         texts = clean(batch)
-        prints = [_signed(fingerprint(t)) for part in chunks(texts) for t in texts[part]]
+        prints = [signed_fingerprint(t) for part in chunks(texts) for t in texts[part]]
         yield pd.Series(prints, dtype="int64")
 
 

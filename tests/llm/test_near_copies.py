@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from groundspan.llm import near_copies
+from groundspan.llm import near_copies, simhash
 from groundspan.llm.tables import table
 
 STAGE = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
@@ -87,3 +87,42 @@ def test_rows_of_one_id_are_judged_apart(spark, sf):
     for stage in (STAGE, corpus_pipeline.near_dedup):
         kept = sorted((r["doc_id"], r["text"][0]) for r in stage(spark, docs, sf).collect())
         assert kept == [(1, "x"), (2, "y"), (4, "z")]
+
+
+def test_texts_somewhat_under_the_line_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(120):  # alike to some 0.65 in pairs: they share keys, but no two are near copies
+        copy = list(base)
+        for at in rng.sample(range(5, 195), 5):
+            copy[at] = f"own{i}-{at}"
+        texts[i] = " ".join(copy)
+    want = plain_groups(texts)
+    staged = {}
+
+    def stage(df, label):
+        out = stage_table(df, label)
+        staged.setdefault(label, []).append(out.count())
+        return out
+
+    stage_table = near_copies.stage_table
+    monkeypatch.setattr(near_copies, "stage_table", stage)
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in texts.items()], ROW)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == want
+    assert len(set(want.values())) > 60 and staged["copy-candidates"][1] < 1000  # of some 7,000 pairs
+
+
+def test_stage_drops_what_simhash_links(spark, sf):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(40)]
+    own = simhash.fingerprint(" ".join(base))
+    for _ in range(5000):
+        copy = list(base)
+        copy[rng.randrange(8, 32)] = f"x{rng.randrange(10**6)}"
+        if (simhash.fingerprint(" ".join(copy)) ^ own).bit_count() <= simhash.RADIUS:
+            break
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(reversed(base)))]
+    assert not near_copies.alike(*(near_copies.shingles(t) for _, t in rows[:2]))
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], ROW)
+    assert sorted(r["doc_id"] for r in STAGE(spark, docs, sf).collect()) == [1, 3]
