@@ -335,3 +335,24 @@ def test_bloom_has_no_false_negatives(spark):
     assert bloom.may_hold(own.a.to_numpy(), own.b.to_numpy()).all()
     others = hashed(spark.range(20_000).select(F.concat(F.lit("n"), "id").alias("key")))
     assert bloom.may_hold(others.a.to_numpy(), others.b.to_numpy()).mean() < 0.02
+
+
+def test_models_count_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MODEL_GRAMS", 50, raising=False)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(200)]
+    rows = spark.createDataFrame([("x", i, t) for i, t in enumerate(texts)], "cls string, doc_id bigint, text string")
+    counts = kneser_ney.gathered(rows, 4)
+    assert len(counts.n) == len(plain_counts(texts, 4)) > 1000 and counts.n.sum() == sum(len(t) + 1 for t in texts)
+
+
+def test_scores_of_texts_are_those_of_their_words(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1, "banana it's bandana 1a2b"), ("b", 2, "öl nab-nab")], "cls string, doc_id bigint, text string")
+    model = kneser_ney.fit(kneser_ney.gathered(rows, 4), 4)
+    for bound in (kneser_ney.CACHED_CELLS, 60):  # the second empties what is kept
+        monkeypatch.setattr(kneser_ney, "CACHED_CELLS", bound)
+        for texts in (["", "it's nab-band", "12 !"], [], ["x" * 50 + " banana", "ban it's it's"]):
+            row, scores, lengths = model.word_scores(texts)
+            totals, symbols = model.text_scores(texts)
+            assert totals.shape == (len(texts), 2) and symbols.tolist() == [int(lengths[row == i].sum()) for i in range(len(texts))]
+            assert all(np.allclose(totals[i], scores[row == i].sum(axis=0)) for i in range(len(texts)))
