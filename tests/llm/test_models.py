@@ -356,3 +356,27 @@ def test_scores_of_texts_are_those_of_their_words(spark, monkeypatch):
             totals, symbols = model.text_scores(texts)
             assert totals.shape == (len(texts), 2) and symbols.tolist() == [int(lengths[row == i].sum()) for i in range(len(texts))]
             assert all(np.allclose(totals[i], scores[row == i].sum(axis=0)) for i in range(len(texts)))
+
+
+def test_frequent_tokens_outlast_rare_ones(monkeypatch):
+    counts = kneser_ney.Counts(["a", "b"], *(np.array(v, np.int64) for v in ([0, 1, 0, 1], [0, 0, 0, 0], [97, 98, 99, 100], [3, 2, 1, 4])))
+    model, scored = kneser_ney.fit(counts, 2), []
+    monkeypatch.setattr(kneser_ney, "CACHED_CELLS", 400)
+    plain = kneser_ney.KneserNey._scored
+    monkeypatch.setattr(kneser_ney.KneserNey, "_scored", lambda self, words: scored.extend(words) or plain(self, words))
+    rare = lambda i: "".join(chr(97 + int(d)) for d in f"{i:06d}")
+    texts = [f"often bad often {rare(i)} cad, {rare(i + 5000)}7{rare(i)}" for i in range(300)]
+    found = [model.text_scores([text]) for text in texts]
+    assert scored.count("often") == scored.count("bad") == scored.count("cad") == 1
+    assert len(model.seen) < 100 and list(model.seen.values()) == list(range(len(model.seen)))
+    for text, (totals, symbols) in list(zip(texts, found))[::37]:
+        fresh, letters = kneser_ney.fit(counts, 2).text_scores([text])
+        assert (totals == fresh).all() and (symbols == letters).all()
+        text_of, rows, _ = model.word_scores([text])
+        assert np.allclose(rows.sum(axis=0), fresh[0]) and not text_of.any()
+
+
+def test_words_of_many_tokens_are_those_of_each():
+    tokens = ["Word", "ΟΔΟΣ", "İstanbul,", "don't", "12½x", "ﬁn", "a_b", "...", "ΣΑΣ.", "\u0345Σ"]
+    assert kneser_ney.words_by_token(tokens) == [kneser_ney.words_of(t) for t in tokens]
+    assert kneser_ney.words_by_token([]) == []
