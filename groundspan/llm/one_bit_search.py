@@ -160,7 +160,9 @@ def search(
         F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
     )
     blocks = -(-total // BLOCK)
-    meetings = questions.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block")
+    # Spark takes exploded copies for no larger than one of them and would broadcast them all
+    copies = questions.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).hint("merge")
+    meetings = copies.join(index.hint("merge"), "block")
     shared = spark.sparkContext.broadcast((centre, turn))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

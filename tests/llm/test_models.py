@@ -380,3 +380,12 @@ def test_words_of_many_tokens_are_those_of_each():
     tokens = ["Word", "ΟΔΟΣ", "İstanbul,", "don't", "12½x", "ﬁn", "a_b", "...", "ΣΑΣ.", "\u0345Σ"]
     assert kneser_ney.words_by_token(tokens) == [kneser_ney.words_of(t) for t in tokens]
     assert kneser_ney.words_by_token([]) == []
+
+
+def test_search_broadcasts_no_copies_of_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(one_bit_search, "BLOCK", 50)
+    monkeypatch.setattr(one_bit_search, "QUERY_BLOCK", 5)
+    rng = np.random.default_rng(7)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(8)]) for i in range(400)], "vec_id bigint, embedding array<float>")
+    found = one_bit_search.search_query(vectors)
+    assert len(found.collect()) == 400 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
