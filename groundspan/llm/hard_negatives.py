@@ -254,8 +254,9 @@ def mine(
                     if out:
                         yield pd.DataFrame(out, columns=names)
 
-        # blocks are spread over tasks, and stay where they are while the slices come by
-        return copies.join(index, "block").mapInPandas(run, shape)
+        # blocks are spread over tasks, and stay where they are while the slices come by; neither side is
+        # broadcast, though Spark takes exploded copies for no larger than one of them
+        return copies.hint("merge").join(index.hint("merge"), "block").mapInPandas(run, shape)
 
     small_batches(spark)
 

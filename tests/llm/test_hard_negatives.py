@@ -100,3 +100,11 @@ def test_search_ends_when_certified():
 def test_large_numbers_stay_exact():
     rows, query = np.array([[2**27, 2**27 - 1]], np.int64), np.array([2**27, 1], np.int64)
     assert hard_negatives.products(rows, query)[0] == 2**54 + 2**27 - 1
+
+
+def test_no_copies_of_the_anchors_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "BLOCK", 50)
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(6)], i % 3) for i in range(400)], "vec_id bigint, embedding array<float>, label int")
+    found = hard_negatives.negatives_query(rows)
+    assert found.collect() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
