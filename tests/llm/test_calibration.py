@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from groundspan.llm import language_id, toxicity
+from groundspan.llm import kneser_ney, language_id, toxicity
 
 
 def fold_of(i, folds=5):
@@ -66,3 +66,32 @@ def test_language_line_of_a_rare_language(spark):
     model = language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     blind = np.log(model.grams.symbols)
     assert model.grams.classes == ["aa", "bb", "cc"] and (model.mean < 0.9 * blind).all()
+
+
+def test_language_line_counts_every_row(spark, monkeypatch):
+    """All labelled rows outside the held-out quarter, those of one id too, each without its fold."""
+    monkeypatch.setattr(language_id, "LINE_ROWS", 5, raising=False)
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 8)))
+    rows = [(i // 2, " ".join(word("abcdef" if i % 3 else "defghij") for _ in range(8 + i % 5)), "aa" if i % 3 else "bb") for i in range(120)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    usual = {"aa": [], "bb": []}
+    for fold in language_id.FOLDS:
+        seen = [(c, i, t) for i, t, c in rows if fold_of(i, 4) in language_id.FOLDS and fold_of(i, 4) != fold]
+        others = kneser_ney.fit(kneser_ney.gathered(spark.createDataFrame(seen, "cls string, doc_id bigint, text string"), language_id.ORDER), language_id.ORDER)
+        for at, c in enumerate(others.classes):
+            totals, symbols = others.text_scores([t for i, t, own in rows if own == c and fold_of(i, 4) == fold])
+            usual[c] += (-totals[:, at] / symbols).tolist()
+    assert np.allclose(model.mean, [np.mean(usual[c]) for c in model.grams.classes])
+
+
+def test_models_by_themselves_equal_those_of_all_classes():
+    rng = np.random.default_rng(4)
+    cls = np.sort(rng.integers(0, 3, 400))
+    counts = kneser_ney.Counts(["a", "b", "c"], cls, cls * 0, *(rng.integers(1, 4, (2, 400)) + [[96], [0]]))
+    counts.lo += (rng.integers(97, 101, 400) << kneser_ney.BITS) + (rng.integers(97, 101, 400) << 2 * kneser_ney.BITS)
+    every, apart, texts = kneser_ney.fit(counts, 3), kneser_ney.fit_apart(counts, 3), ["abc cab", "", "dd aab 7", "xyz"]
+    totals, symbols = every.text_scores(texts)
+    for at, c in enumerate(every.classes):
+        own, letters = apart[c].text_scores(texts)
+        assert np.allclose(own[:, 0], totals[:, at]) and (letters == symbols).all()

@@ -389,3 +389,11 @@ def test_search_broadcasts_no_copies_of_the_queries(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(8)]) for i in range(400)], "vec_id bigint, embedding array<float>")
     found = one_bit_search.search_query(vectors)
     assert len(found.collect()) == 400 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_in_a_row_are_those_of_each_token():
+    tokens = ["Word", "ΟΔΟΣ", "İstanbul,", "don't", "12½x", "ﬁn", "a_b", "...", "ΣΑΣ.", "\u0345Σ", "", "𐐨a-語", "Ⅷx", "ªº", "!"]
+    words, lengths, sizes = kneser_ney.words_in(tokens)
+    plain = [kneser_ney.words_of(t) for t in tokens]
+    assert words == [w for own in plain for w in own] and lengths.tolist() == [len(w) for w in words]
+    assert sizes.tolist() == [len(own) for own in plain] and kneser_ney.words_in([])[0] == []
