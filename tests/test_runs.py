@@ -84,3 +84,20 @@ def test_only_followups_that_refer_back_are_rewritten(spark, tmp_path):
     assert found["d:0"] == "why is that" and found["c:4"].startswith("Describe") and found["c:0"].startswith("Tell")
     for completer in (None, lambda rs: [{"text": "x" * 5000} for _ in rs], lambda rs: 1 / 0):
         assert {r["rewritten"] for r in rewrite_turns(turns, completer, "s").where("query_id = 'c:2'").collect()} == {"why is that"}
+
+
+def test_equal_requests_are_asked_once_in_waves(spark, tmp_path):
+    """Requests of one text, of one id and without an id; each part is one batch."""
+    rows = [(f"r{i % 40}" if i % 5 else None, "s", [("user", f"say {i % 23}")]) for i in range(120)]
+    asked = spark.createDataFrame(rows, "request_id string, system string, messages array<struct<role: string, content: string>>").repartition(5)
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def completer(requests):
+        (log / uuid.uuid4().hex).write_text("\n".join(r["messages"][-1]["content"] for r in requests))
+        return [{"text": r["messages"][-1]["content"].upper()} for r in requests]
+
+    found = complete_once(asked, completer, str(tmp_path / "ledger"), part=4, wave_parts=2)
+    assert sorted((r["request_id"] or "", r["text"]) for r in found.collect()) == sorted((i or "", m[0][1].upper()) for i, _, m in rows)
+    said = [line for f in log.iterdir() for line in f.read_text().splitlines()]
+    assert sorted(said) == sorted({m[0][1] for _, _, m in rows})

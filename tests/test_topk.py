@@ -62,3 +62,15 @@ def test_best_holds_a_few_rows_a_question():
     scores, found = np.concatenate(every, axis=1), best.rows()
     want = [f"c{c:05d}" for row in scores for c in np.argsort(-row, kind="stable")[:5]]
     assert found.column("chunk_id").to_pylist() == want
+
+
+def test_passages_are_not_shuffled_for_slices_of_questions(tables, monkeypatch):
+    """However many slices of questions there are, what is moved besides them is a few rows a question."""
+    queries, held, stats, _, _ = tables
+    monkeypatch.setattr(lexical, "QUERY_SLICE", 2)  # five slices
+    found = bm25_topk(queries, held, stats, FACTS, 6)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan and "Broadcast" not in plan
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert moved and all("slice" in line or "query_id" in line for line in moved)
