@@ -21,6 +21,7 @@ from groundspan.functions.text import ends_sentence, strip_ws
 from groundspan.settings import Settings
 
 STATE = "held string"
+_READ = ["arrived_ms", "episode_title", "source_file", "id", "start", "end", "text", "sentence", "last"]
 
 
 class OpenEpisode:
@@ -91,10 +92,11 @@ def _passages(settings: Settings, idle_ms: int):
             closed += episode.finish()
         else:
             for batch in batches:
-                episode.latest = max(episode.latest, int(batch["arrived_ms"].max()))
-                for r in batch.itertuples():
-                    episode.about = [r.episode_title, r.source_file]
-                    episode.add(int(r.id), [int(r.id), float(r.start), float(r.end), r.text or "", bool(r.sentence)], bool(r.last))
+                # columns as lists: making tuples of a frame costs more than an episode's few segments
+                for arrived, title, file, id_, start, end, text, sentence, last in zip(*(batch[c].tolist() for c in _READ)):
+                    episode.latest = max(episode.latest, int(arrived))
+                    episode.about = [title, file]
+                    episode.add(int(id_), [int(id_), float(start), float(end), text or "", bool(sentence)], bool(last))
             closed += episode.advance()
             if episode.total is not None and episode.next >= episode.total and not episode.done:
                 closed += episode.finish()
